@@ -134,3 +134,25 @@ def quiet_threads() -> None:
     for k in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
         os.environ.setdefault(k, "1")
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+def annotate(docs: DataFrame, compute, fields: str, *, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Append what compute(text column of an Arrow batch) gives to each row; no shuffle, one pass.
+
+    fields is the DDL of the appended columns; compute returns their Arrow arrays in order. carry lists the input columns
+    to keep (default: all). An input column with the name of an appended one is replaced by it.
+    """
+    added = docs.sparkSession.createDataFrame([], fields).schema
+    names = [f.name for f in added]
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in names]
+    schema = type(added)([docs.schema[c] for c in kept] + list(added))
+    hidden = "text_to_annotate"
+    while hidden in kept:
+        hidden += "_"
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *compute(batch.column(batch.num_columns - 1))], [*kept, *names])
+
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(hidden)).mapInArrow(run, schema)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kelpie.llm import token_files
+from kelpie.llm import decontaminate, packing, sharding, token_files
 
-_MODULES = [token_files]
+_MODULES = [decontaminate, packing, sharding, token_files]
 
 
 def queries() -> dict:
