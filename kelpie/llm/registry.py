@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kelpie.llm import decontaminate, ngram_join, packing, sharding, token_files
+from kelpie.llm import decontaminate, ngram_join, packing, sharding, token_files, toxicity
 
-_MODULES = [decontaminate, ngram_join, packing, sharding, token_files]
+_MODULES = [decontaminate, ngram_join, packing, sharding, token_files, toxicity]
 
 
 def queries() -> dict:
