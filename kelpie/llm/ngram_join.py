@@ -8,7 +8,8 @@ or two frequent ones of one class: pairs of frequent shingles of a class are ind
 the pairs in proportion to the prefix.
 
 Equal sets are one node. In each bucket of the index, members are first compared with a few pivots only, verified, and
-joined into components. Members of a bucket that still lie in different components are then compared with each other
+joined into components. Of pairs that sizes and sketches allow, each set is first verified against one partner; the other
+pairs are verified only where their sets still lie in different components. Members of a bucket that still lie in different components are then compared with each other
 inside a join whose condition rejects by size and by an exact bound (the bits in which two 512-bit parity sketches differ
 never exceed the symmetric difference), so only near-certain links are emitted, and these are verified on whole sets.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import LOWER, NON_SPACE, materialize, mix64, slices, span_hashes, table, utf8_of, word_spans
+from kelpie.llm.common import LOWER, NON_SPACE, discard, materialize, mix64, slices, span_hashes, table, utf8_of, word_spans
 from kelpie.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -201,6 +202,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     ends = sigs.groupBy("sig").agg(F.max("node").alias("top"), F.min("node").alias("p0"), *[F.min(F.col("node").bitwiseXOR(F.lit(s))).alias(f"p{k}") for k, s in enumerate(PIVOT_SEEDS) if s])
     ends = ends.filter("top != p0").select("sig", *[F.col(f"p{k}").bitwiseXOR(F.lit(s)).alias(f"p{k}") for k, s in enumerate(PIVOT_SEEDS)])
     members = materialize(sigs.join(ends, "sig").distinct(), "bucket-members")
+    discard(sigs)
 
     first = members.select(F.explode(F.array_distinct(F.array(*pivots))).alias("v"), F.col("node").alias("u")).filter("u != v")
     first = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -209,12 +211,22 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "first_doc"), "node")
         sets = slim.join(wanted, F.col("doc_id") == F.col("first_doc")).select("text", "node")
-        sets = materialize(sets.mapInArrow(_sets(words), "node long, shingles binary"), "shingle-sets").dropDuplicates(["node"])
+        sets = materialize(sets.mapInArrow(_sets(words), "node long, shingles binary"), "shingle-sets")
         a, b = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
-        return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_verify(percent), "u long, v long").distinct()
+        links = materialize(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_verify(percent), "u long, v long").distinct(), "links")
+        discard(sets)
+        return links
 
-    links = materialize(verified(first), "links")
+    # a pair for each node spans most groups; of the others only those between different components are left to verify
+    spanning = materialize(first.groupBy("u").agg(F.min("v").alias("v")), "spanning-pairs")
+    links = verified(spanning)
     found = connected_components(links)
+    roots = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    a, b = roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+    apart = materialize(first.join(spanning, ["u", "v"], "left_anti").join(a, "u").join(b, "v").filter("ru != rv").select("u", "v"), "pairs-apart")
+    if not apart.isEmpty():
+        links = links.union(more := verified(apart))
+        found = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
 
     wide = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = members.select("sig", "node").join(wide, "node")
@@ -225,8 +237,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rest = rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
     rest = materialize(rest.join(first, ["u", "v"], "left_anti"), "rest-pairs")
     if not rest.isEmpty():
-        more = materialize(verified(rest), "links")
-        links = links.union(more)
+        links = links.union(more := verified(rest))
         found = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
 
     degree = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
