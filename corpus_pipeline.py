@@ -1,11 +1,72 @@
-"""The corpus pipeline: filled stage by stage."""
+"""The corpus pipeline: toxic documents go, one document of each near-duplicate group stays, contaminated documents go,
+personal data is replaced, and what remains is packed into sequences.
 
-STAGES = []
+Each stage is a function of (spark, docs, sf_dir). docs is what the stage before kept, with the columns of documents;
+the last stage returns pieces of sequences. run() writes each stage's result and reads it back as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kelpie.llm.common import materialize, table
+from kelpie.llm.decontaminate import decontaminate
+from kelpie.llm.ngram_join import jaccard_groups
+from kelpie.llm.packing import pack_documents
+from kelpie.llm.pii import redact
+from kelpie.llm.toxicity import THRESHOLD, held_out, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least THRESHOLD go. Labels of the held-out fold are not learnt from."""
+    scored = toxicity(docs, table(spark, sf_dir, "labels"), may_learn=~held_out())
+    return scored.filter(F.col("toxicity_score") < THRESHOLD).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least id stays; of rows that repeat it whole, one stays.
+
+    Rows with a null id stay, since no id can tell them apart.
+    """
+    groups = jaccard_groups(docs)
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").withColumn("text_key", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    named = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text_key"])
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark passages make up a twentieth or more of the words go; the others stay whole."""
+    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return judged.filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; spans of personal data become their kind in brackets, and n_chars follows the text."""
+    clean = redact(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a sequence."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", replace_personal_data),
+    ("packing", pack),
+]
+
+#: The scores of the first stage come from a trained network, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
