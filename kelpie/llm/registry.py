@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kelpie.llm import decontaminate, ngram_join, packing, pii, sharding, token_files, toxicity
+from kelpie.llm import decontaminate, ngram_join, packing, pii, quality, sharding, token_files, toxicity
 
-_MODULES = [decontaminate, ngram_join, packing, pii, sharding, token_files, toxicity]
+_MODULES = [decontaminate, ngram_join, packing, pii, quality, sharding, token_files, toxicity]
 
 
 def queries() -> dict:
