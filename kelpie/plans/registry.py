@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kelpie.plans import events
+
 Query = Callable[[SparkSession, str], DataFrame]
+_FAMILIES = [events]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for m in _FAMILIES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _FAMILIES for name, sql in m.ORACLE.items()}
