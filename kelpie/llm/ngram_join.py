@@ -9,9 +9,11 @@ the pairs in proportion to the prefix.
 
 Equal sets are one node. In each bucket of the index, members are first compared with a few pivots only, verified, and
 joined into components. Of pairs that sizes and sketches allow, each set is first verified against one partner; the other
-pairs are verified only where their sets still lie in different components. Members of a bucket that still lie in different components are then compared with each other
-inside a join whose condition rejects by size and by an exact bound (the bits in which two 512-bit parity sketches differ
-never exceed the symmetric difference), so only near-certain links are emitted, and these are verified on whole sets.
+pairs are verified only where their sets still lie in different components. Members of a bucket that still lie in different
+components are then compared with each other inside a join whose condition rejects by size and by an exact bound (the bits in which two 512-bit parity sketches differ
+never exceed the symmetric difference). Large sets fill those bits, so their pairs also meet a sketch of n / 16 to n / 8
+bucket counts, whose difference never exceeds the symmetric difference either. Only near-certain links reach the
+verification on whole sets.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from kelpie.llm.components import connected_components
 SHINGLE_WORDS = 3
 SIMILAR_PERCENT = 90
 SKETCH_BITS = 18
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
 PIVOT_SEEDS = (0, 0x5A17C3B96E2D48F1, 0x26B9E15D7C3A0F84, 0x713D5E8A92C4B66F)
 PARITY_WORDS = 8
 _PARITY = [f"b{k}" for k in range(PARITY_WORDS)]
@@ -71,23 +73,54 @@ def parity(s: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(">i8").tolist()
 
 
+def coarse(s: np.ndarray) -> bytes:
+    """Shingles in each of n / 16 to n / 8 hash buckets; nothing for small sets, whose parity tells enough."""
+    if len(s) < 64:
+        return b""
+    buckets = 1 << (len(s).bit_length() - 4)
+    return np.bincount(((s >> np.uint64(30)) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets).astype("<u2").tobytes()
+
+
+def coarse_difference(x: bytes, y: bytes) -> tuple[int, int]:
+    """(a bound that the symmetric difference of two sets is never below, the sum of their sizes) from coarse()."""
+    a, b = np.frombuffer(x, "<u2").astype(np.int64), np.frombuffer(y, "<u2").astype(np.int64)
+    few = min(len(a), len(b))
+    if not few:
+        return 0, 0
+    a, b = a.reshape(-1, few).sum(0), b.reshape(-1, few).sum(0)
+    return int(np.abs(a - b).sum()), int(a.sum() + b.sum())
+
+
+def pack_set(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: two sets of 20,000 share one by chance in a millionth of all cases."""
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpack_set(data: bytes) -> np.ndarray:
+    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, 2:] = six
+    return out.view("<u8").ravel()
+
+
 def _describe(words: int):
-    """Rows of documents (id, size, node, parity) and, at the end of a partition, rows of its sketch (slot, count)."""
+    """Rows of documents (id, size, node, parity, coarse) and, at the end of a partition, rows of its sketch (slot, count)."""
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["doc_id", "n", "node", *_PARITY, "slot", "count"]
+        names = ["doc_id", "n", "node", *_PARITY, "coarse", "slot", "count"]
         for batch in batches:
-            rows = []
+            rows, fine = [], []
             for s in shingle_sets(batch.column(1), words):
                 np.add.at(counts, (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
                 rows.append((len(s), node_id(s), *parity(s)))
+                fine.append(coarse(s))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * (2 + PARITY_WORDS)
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols), pa.array(fine, pa.binary()), none, none], names)
         slot = np.flatnonzero(counts)
         none = pa.nulls(len(slot), pa.int64())
-        yield pa.RecordBatch.from_arrays([none] * (3 + PARITY_WORDS) + [pa.array(slot), pa.array(counts[slot])], names)
+        yield pa.RecordBatch.from_arrays([none] * (3 + PARITY_WORDS) + [pa.nulls(len(slot), pa.binary()), pa.array(slot), pa.array(counts[slot])], names)
 
     return run
 
@@ -148,7 +181,7 @@ def _sets(words: int):
 
     def run(batches):
         for batch in batches:
-            found = [(node, s.tobytes()) for s, node in zip(shingle_sets(batch.column(0), words), batch.column(1).to_pylist(), strict=True) if node_id(s) == node]
+            found = [(node, pack_set(s)) for s, node in zip(shingle_sets(batch.column(0), words), batch.column(1).to_pylist(), strict=True) if node_id(s) == node]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["node", "shingles"])
 
     return run
@@ -160,7 +193,7 @@ def _verify(percent: int):
             u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
             for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                a, b = unpack_set(x), unpack_set(y)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     keep.append(k)
@@ -169,6 +202,18 @@ def _verify(percent: int):
     return run
 
 
+def _plausible(percent: int):
+    """Pairs whose coarse sketches allow the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            bounds = [coarse_difference(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = pa.array([differ * (100 + percent) <= (100 - percent) * sizes for differ, sizes in bounds], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
+
+    return run
+
+
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Sizes and parity sketches allow the similarity: |A xor B| <= (100 - p) / (100 + p) * (|A| + |B|)."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -186,7 +231,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     gives no rows.
     """
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    described = materialize(slim.mapInArrow(_describe(words), ", ".join(f"{c} long" for c in ["doc_id", "n", "node", *_PARITY, "slot", "count"])), "shingle-docs")
+    described = materialize(slim.mapInArrow(_describe(words), ", ".join(f"{c} long" for c in ["doc_id", "n", "node", *_PARITY]) + ", coarse binary, slot long, count long"), "shingle-docs")
     sketch = described.filter("slot is not null").groupBy("slot").agg(F.sum("count").alias("count"))
     shingles = sketch.agg(F.sum("count")).first()[0] or 0
     mean = shingles / (1 << SKETCH_BITS)
@@ -194,8 +239,9 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     often = sketch.filter(F.col("count") > mean + 8 * mean**0.5 + 16).select("slot").toPandas()["slot"].to_numpy()  # at most 2**SKETCH_BITS
     flags[often] = True
 
-    rows = described.filter("slot is null").select("doc_id", "n", "node", *_PARITY)
-    nodes = materialize(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in _PARITY]), "nodes")
+    rows = described.filter("slot is null").select("doc_id", "n", "node", *_PARITY, "coarse")
+    nodes = materialize(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in [*_PARITY, "coarse"]]), "nodes")
+    slim_nodes = nodes.drop("coarse")
 
     sigs = materialize(slim.select("text").mapInArrow(_index(np.packbits(flags).tobytes(), words, percent), "sig long, node long"), "signatures")
     pivots = [f"p{k}" for k in range(len(PIVOT_SEEDS))]
@@ -206,7 +252,13 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     first = members.select(F.explode(F.array_distinct(F.array(*pivots))).alias("v"), F.col("node").alias("u")).filter("u != v")
     first = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    first = materialize(first.join(nodes.alias("a"), F.col("u") == F.col("a.node")).join(nodes.alias("b"), F.col("v") == F.col("b.node")).filter(_may_link("a", "b", percent)).select("u", "v"), "pivot-pairs")
+    met = materialize(first.join(slim_nodes.alias("a"), F.col("u") == F.col("a.node")).join(slim_nodes.alias("b"), F.col("v") == F.col("b.node")).filter(_may_link("a", "b", percent)).select("u", "v"), "pivot-pairs")
+
+    def plausible(pairs: DataFrame, name: str) -> DataFrame:
+        a, b = nodes.select(F.col("node").alias("u"), F.col("coarse").alias("x")), nodes.select(F.col("node").alias("v"), F.col("coarse").alias("y"))
+        return materialize(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_plausible(percent), "u long, v long"), name)
+
+    first = plausible(met, "plausible-pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "first_doc"), "node")
@@ -228,14 +280,15 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         links = links.union(more := verified(apart))
         found = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
 
-    wide = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    wide = slim_nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = members.select("sig", "node").join(wide, "node")
     torn = open_.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("size > 2 and low != high").select("sig")
     open_ = open_.join(torn, "sig")
     a, b = open_.alias("a"), open_.alias("b")
     rest = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _may_link("a", "b", percent))
     rest = rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    rest = materialize(rest.join(first, ["u", "v"], "left_anti"), "rest-pairs")
+    rest = plausible(rest.join(met, ["u", "v"], "left_anti"), "rest-pairs")
+    discard(members)
     if not rest.isEmpty():
         links = links.union(more := verified(rest))
         found = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
