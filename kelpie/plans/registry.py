@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.plans import events
+from kelpie.plans import events, listing
 
 Query = Callable[[SparkSession, str], DataFrame]
-_FAMILIES = [events]
+_FAMILIES = [events, listing]
 
 
 def queries() -> dict[str, Query]:
