@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.plans import events, listing
+from kelpie.plans import events, listing, notices, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_FAMILIES = [events, listing]
+_FAMILIES = [events, listing, notices, texts]
 
 
 def queries() -> dict[str, Query]:
