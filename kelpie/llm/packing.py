@@ -33,7 +33,8 @@ class Bm25Index:
         n = len(docs)
         lengths = np.array([len(d) for d in docs], np.int64)
         ids = np.concatenate(docs).astype(np.int64) if n else np.zeros(0, np.int64)
-        terms, local = np.unique(ids, return_inverse=True)
+        present = np.bincount(ids) > 0  # the vocabulary bounds its length
+        terms, local = np.flatnonzero(present), (np.cumsum(present) - 1)[ids]
         key = local * n + np.repeat(np.arange(n), lengths)
         key = key.astype(np.int32) if len(terms) * n < 2**31 else key
         key.sort()

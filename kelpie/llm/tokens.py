@@ -7,12 +7,13 @@ the library. Tests hold this against encoding whole texts.
 
 from __future__ import annotations
 
-import numpy as np
+import struct
 
 from kelpie.llm.common import quiet_threads
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
+_FORMATS = [struct.Struct(f"<{n}I") for n in range(64)]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -21,10 +22,15 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return (_FORMATS[len(ids)] if len(ids) < len(_FORMATS) else struct.Struct(f"<{len(ids)}I")).pack(*ids)
+
+
 class ChunkEncoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers. most: chunks that are remembered."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         quiet_threads()
         from tokenizers import Tokenizer
 
@@ -49,9 +55,11 @@ class ChunkEncoder:
             chunk = chunk.encode().decode("latin-1").translate(self.letters)
         elif chunk.isalpha():
             chunk = chunk.lower()
+            if (ids := self.known.get(chunk)) is not None:
+                return ids
         else:
             return None
-        return np.array([t.id for t in self.word(chunk)], "<u4").tobytes()
+        return packed([t.id for t in self.word(chunk)])
 
     def _ids(self, chunk: str) -> bytes:
         if not chunk:
@@ -60,31 +68,28 @@ class ChunkEncoder:
             return ids
         if chunk[-1] in ".,":
             head = chunk[:-1]
-            if head.isalpha() and (ids := self._letters_only(head)) is not None:
+            if head.isalpha() and (ids := self.known.get(head) or self._letters_only(head)) is not None:
                 return ids + self._whole(chunk[-1])
         return self._whole(chunk)
 
     def _whole(self, chunk: str) -> bytes:
         if len(chunk) == 1:
             if (ids := self.known.get(chunk)) is None:
-                self.known[chunk] = ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+                self.known[chunk] = ids = packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
             return ids
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        return packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         chunks = text.replace("\n", " ").split(" ")
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(known) > self.most:
+        new = set(chunks).difference(known)
+        if len(known) + len(new) > self.most and known:
             known.clear()
-        for c in chunks:
-            if c not in known:
-                known[c] = self._ids(c)
+            new = set(chunks)
+        for c in new:
+            known[c] = self._ids(c)
         return b"".join(map(known.__getitem__, chunks))
 
 
