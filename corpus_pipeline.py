@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import materialize, table
+from kelpie.llm.common import discard, materialize, table
 from kelpie.llm.decontaminate import decontaminate
 from kelpie.llm.ngram_join import jaccard_groups
 from kelpie.llm.packing import pack_documents
@@ -25,15 +25,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays; of rows that repeat it whole, one stays.
+    """Of each group of linked documents one row stays: that of the least id, a null id being the largest.
 
-    Rows with a null id stay, since no id can tell them apart.
+    Texts are linked, whatever their ids: rows that share an id, or have none, stay or go by their own text. Rows without
+    words link with nothing: they stay, one of those that repeat an id and a text; all where the id is null.
     """
-    groups = jaccard_groups(docs)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("text_key", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    named = kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text_key"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    key, id_ = F.xxhash64("text").alias("text_key"), F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.filter(worded).select(*docs.columns, key)
+    texts = materialize(keyed.select("text_key", "text").dropDuplicates(["text_key"]), "texts")
+    groups = jaccard_groups(texts, id_col="text_key").select(F.col("doc_id").alias("text_key"), "component_id")
+    firsts = keyed.groupBy("text_key").agg(F.min(id_).alias("id")).join(groups, "text_key")
+    stay = firsts.groupBy("component_id").agg(F.min(F.struct("id", "text_key")).alias("first")).select("first.id.doc_id", "first.text_key")
+    stay = materialize(stay, "first-of-group")
+    discard(texts)
+    once = keyed.dropDuplicates(["doc_id", "text_key"]).alias("d")
+    named = once.join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_key") == F.col("s.text_key")), "left_semi")
+    blank = docs.filter(~worded).select(*docs.columns, key)
+    blank = blank.filter("doc_id is not null").dropDuplicates(["doc_id", "text_key"]).unionByName(blank.filter("doc_id is null"))
+    return named.unionByName(blank).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
