@@ -32,13 +32,16 @@ def _log(spark, d):
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1, 2")
 def stream_daily_totals(spark, d):
-    batches = ops.run_once(ops.daily_totals(ops.accepted(_log(spark, d), TYPES)), _folder(spark))
+    """The SQL is over the whole table, so no row is too late."""
+    batches = ops.run_once(ops.daily_totals(ops.accepted(_log(spark, d), TYPES), late=None), _folder(spark))
     return batches.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
 @query("""SELECT user_id, event_id, old, new FROM (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old, event_type AS new FROM events) WHERE old <> new""")
 def stream_state_changes(spark, d):
-    return ops.run_once(ops.state_changes(_log(spark, d)), _folder(spark), "append").select("user_id", "event_id", "old", "new")
+    """Batches bring the log in order of arrival; rows are compared in order of time once all have arrived."""
+    arrived = ops.run_once(_log(spark, d).select("user_id", "event_id", "ts", "event_type"), _folder(spark), "append")
+    return ops.ordered_state_changes(arrived)
 
 
 @query("""WITH m AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

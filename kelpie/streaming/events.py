@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -24,9 +25,11 @@ def accepted(events: DataFrame, types: list[str], most_bytes: int = 8192) -> Dat
     return events.filter(F.col("event_type").isin(types) & F.col("user_id").isNotNull() & (F.coalesce(F.octet_length("props"), F.lit(0)) <= most_bytes))
 
 
-def daily_totals(events: DataFrame, late: str = "2 days") -> DataFrame:
-    """Counts by UTC day and type; a day stays open for `late`, later rows are dropped by the watermark."""
-    by_day = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
+def daily_totals(events: DataFrame, late: str | None = "2 days") -> DataFrame:
+    """Counts by UTC day and type; a day stays open for `late`, later rows are dropped by the watermark.
+
+    Where late is None, days never close and every row counts, in whatever order it arrives."""
+    by_day = (events if late is None else events.withWatermark("ts", late)).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
     return by_day.select(F.col("window.start").alias("day"), "event_type", "n")
 
 
@@ -58,6 +61,12 @@ def state_changes(events: DataFrame) -> DataFrame:
     return some.groupBy("user_id").applyInPandasWithState(_changes, CHANGE_FIELDS, "last string", "append", GroupStateTimeout.NoTimeout)
 
 
+def ordered_state_changes(events: DataFrame) -> DataFrame:
+    """The same over a whole table, which is put in order of time before rows are compared. All rows take part."""
+    before = F.lag("event_type").over(W.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id")))
+    return events.select("user_id", "event_id", before.alias("old"), F.col("event_type").alias("new")).filter("old <> new")
+
+
 def run_once(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
     """Process all that has arrived and return the rows of every batch with their batch number.
 
