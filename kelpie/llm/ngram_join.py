@@ -33,6 +33,7 @@ SIMILAR_PERCENT = 90
 SKETCH_BITS = 18
 CHUNK_BYTES = 256 << 10
 PIVOT_SEEDS = (0, 0x5A17C3B96E2D48F1, 0x26B9E15D7C3A0F84, 0x713D5E8A92C4B66F)
+BLOCK_NODES = 256
 PARITY_WORDS = 8
 _PARITY = [f"b{k}" for k in range(PARITY_WORDS)]
 
@@ -221,10 +222,25 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 * n >= percent * m) & (100 * m >= percent * n) & (differ * (100 + percent) <= (100 - percent) * (n + m))
 
 
-def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = SIMILAR_PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the least id that links reach, itself included), n_links.
+def _candidates(members: DataFrame, slim_nodes: DataFrame, percent: int) -> DataFrame:
+    """All pairs (u, v) that share a bucket and that sizes and sketches allow. A bucket is dealt in blocks of about
+    BLOCK_NODES nodes, and each pair of blocks is a key of its own, so that no task holds all pairs of a large bucket."""
+    m = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK_NODES).cast("int"))
+    m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(slim_nodes, "node")
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    a, b = m.filter("block = low").alias("a"), m.filter("block = high").alias("b")
+    same = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high"))
+    met = a.join(b, same & ((F.col("a.low") != F.col("a.high")) | (F.col("a.node") > F.col("b.node"))) & _may_link("a", "b", percent))
+    return met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
 
-    n_links counts the verified links by which the document's set was joined, not all its partners. Documents without
+
+def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = SIMILAR_PERCENT, count_links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the least id that links reach, itself included).
+
+    count_links verifies every candidate pair of different sets, not only as many as the components need, and appends
+    n_links: how many other sets are similar to the document's own; documents with equal sets count as one. The pairs of
+    a group then grow with the square of its different sets. Documents without
     words (null, empty, blank) have no shingles and link with nothing. Documents with equal sets are linked. Repeated rows
     are each returned; rows that repeat an id with other texts are nodes of their own. A row with a null id links only with
     equal texts, and its component is the null id where no equal text has one. Other columns are ignored. An empty table
@@ -246,20 +262,16 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     sigs = materialize(slim.select("text").mapInArrow(_index(np.packbits(flags).tobytes(), words, percent), "sig long, node long"), "signatures")
     pivots = [f"p{k}" for k in range(len(PIVOT_SEEDS))]
     ends = sigs.groupBy("sig").agg(F.max("node").alias("top"), F.min("node").alias("p0"), *[F.min(F.col("node").bitwiseXOR(F.lit(s))).alias(f"p{k}") for k, s in enumerate(PIVOT_SEEDS) if s])
-    ends = ends.filter("top != p0").select("sig", *[F.col(f"p{k}").bitwiseXOR(F.lit(s)).alias(f"p{k}") for k, s in enumerate(PIVOT_SEEDS)])
+    if count_links:
+        ends = ends.join(sigs.groupBy("sig").agg(F.count("*").alias("size")), "sig")
+    ends = ends.filter("top != p0").select("sig", *(["size"] if count_links else []), *[F.col(f"p{k}").bitwiseXOR(F.lit(s)).alias(f"p{k}") for k, s in enumerate(PIVOT_SEEDS)])
     members = materialize(sigs.join(ends, "sig").distinct(), "bucket-members")
     discard(sigs)
 
-    first = members.select(F.explode(F.array_distinct(F.array(*pivots))).alias("v"), F.col("node").alias("u")).filter("u != v")
-    first = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    met = materialize(first.join(slim_nodes.alias("a"), F.col("u") == F.col("a.node")).join(slim_nodes.alias("b"), F.col("v") == F.col("b.node")).filter(_may_link("a", "b", percent)).select("u", "v"), "pivot-pairs")
-
     def plausible(pairs: DataFrame, name: str) -> DataFrame:
         a, b = nodes.select(F.col("node").alias("u"), F.col("coarse").alias("x")), nodes.select(F.col("node").alias("v"), F.col("coarse").alias("y"))
         return materialize(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_plausible(percent), "u long, v long"), name)
 
-    first = plausible(met, "plausible-pairs")
-
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "first_doc"), "node")
         sets = slim.join(wanted, F.col("doc_id") == F.col("first_doc")).select("text", "node")
@@ -269,37 +281,49 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         discard(sets)
         return links
 
-    # a pair for each node spans most groups; of the others only those between different components are left to verify
-    spanning = materialize(first.groupBy("u").agg(F.min("v").alias("v")), "spanning-pairs")
-    links = verified(spanning)
-    found = connected_components(links)
-    roots = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    a, b = roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-    apart = materialize(first.join(spanning, ["u", "v"], "left_anti").join(a, "u").join(b, "v").filter("ru != rv").select("u", "v"), "pairs-apart")
-    if not apart.isEmpty():
-        links = links.union(more := verified(apart))
-        found = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
-
-    wide = slim_nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = members.select("sig", "node").join(wide, "node")
-    torn = open_.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("size > 2 and low != high").select("sig")
-    open_ = open_.join(torn, "sig")
-    a, b = open_.alias("a"), open_.alias("b")
-    rest = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _may_link("a", "b", percent))
-    rest = rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    rest = plausible(rest.join(met, ["u", "v"], "left_anti"), "rest-pairs")
-    discard(members)
-    if not rest.isEmpty():
-        links = links.union(more := verified(rest))
-        found = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
-
-    degree = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
+    if count_links:
+        links = verified(plausible(_candidates(members.select("sig", "node", "size"), slim_nodes, percent), "all-pairs"))
+        discard(members)
+        found = connected_components(links)
+    else:
+        first = members.select(F.explode(F.array_distinct(F.array(*pivots))).alias("v"), F.col("node").alias("u")).filter("u != v")
+        first = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        met = materialize(first.join(slim_nodes.alias("a"), F.col("u") == F.col("a.node")).join(slim_nodes.alias("b"), F.col("v") == F.col("b.node")).filter(_may_link("a", "b", percent)).select("u", "v"), "pivot-pairs")
+        first = plausible(met, "plausible-pairs")
+
+        # a pair for each node spans most groups; of the others only those between different components are left to verify
+        spanning = materialize(first.groupBy("u").agg(F.min("v").alias("v")), "spanning-pairs")
+        links = verified(spanning)
+        found = connected_components(links)
+        roots = nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        a, b = roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+        apart = materialize(first.join(spanning, ["u", "v"], "left_anti").join(a, "u").join(b, "v").filter("ru != rv").select("u", "v"), "pairs-apart")
+        if not apart.isEmpty():
+            links = links.union(more := verified(apart))
+            found = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+
+        wide = slim_nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = members.select("sig", "node").join(wide, "node")
+        torn = open_.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("size > 2 and low != high").select("sig")
+        open_ = open_.join(torn, "sig")
+        a, b = open_.alias("a"), open_.alias("b")
+        rest = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _may_link("a", "b", percent))
+        rest = rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+        rest = plausible(rest.join(met, ["u", "v"], "left_anti"), "rest-pairs")
+        discard(members)
+        if not rest.isEmpty():
+            links = links.union(more := verified(rest))
+            found = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+
     labels = nodes.select("node", "first_doc").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labels.groupBy("root").agg(F.min("first_doc").alias("component"))
-    labels = labels.join(least, "root").join(degree, "node", "left").select("node", "component", F.coalesce("links", F.lit(0)).alias("n_links"))
-    return rows.select("doc_id", "n", "node").join(labels, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    labels = labels.join(least, "root").select("node", "component")
+    out = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")]
+    if count_links:
+        degree = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
+        labels = labels.join(degree, "node", "left")
+        out.append(F.coalesce("links", F.lit(0)).alias("n_links"))
+    return rows.select("doc_id", "n", "node").join(labels, "node", "left").select(*out)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
