@@ -1,7 +1,8 @@
 """Sharding by longest processing time: groups that must stay together, largest first, each to the least-loaded shard.
 
 A heap over all groups would be a sequential pass over the whole corpus, so the groups are cut in two. Those that weigh
-more than 1/64 of a shard, at most 64 a shard, are items of their own. All smaller groups meet in a fixed number of cells
+more than 1/64 of a shard, at most 64 a shard, are items of their own, and so are those of more rows than a cell has on
+average. All smaller groups meet in a fixed number of cells
 by the hash of their key, and each cell is an item. The heap thus handles a bounded number of items at any corpus size,
 and a group still never leaves its shard. Sums and counts are aggregated on the executors before anything is gathered.
 """
@@ -47,11 +48,12 @@ def shard_groups(docs: DataFrame, *, shards: int = 16, id_col: str = "doc_id", t
     total, rows = slim.agg(F.sum("size"), F.count("*")).first()
     floor = max(1, (total or 0) // (shards * LARGE_PER_SHARD))
     groups = materialize(groups, "shard-groups")
-    large = groups.filter(F.col("bytes") > floor).select("key", "bytes", "rows").collect()  # under shards * LARGE_PER_SHARD rows
-    small = groups.filter(F.col("bytes") <= floor).groupBy("cell").agg(F.sum("bytes").alias("bytes")).collect()  # at most `cells` rows
+    per_unit = max(1, (rows or 0) // cells)
+    heavy = (F.col("bytes") > floor) | (F.col("rows") > per_unit)  # many short texts weigh little, but are as much to number
+    large = groups.filter(heavy).select("key", "bytes", "rows").collect()  # under shards * LARGE_PER_SHARD + cells rows
+    small = groups.filter(~heavy).groupBy("cell").agg(F.sum("bytes").alias("bytes")).collect()  # at most `cells` rows
     placed = lpt([(g["bytes"], (0, g["key"])) for g in large] + [(c["bytes"], (1, c["cell"])) for c in small], shards)
 
-    per_unit = max(1, (rows or 0) // cells)
     units, big, cell_rows = 0, [], []
     for g in sorted(large, key=lambda g: g["key"]):
         parts = -(-g["rows"] // per_unit)
@@ -66,7 +68,7 @@ def shard_groups(docs: DataFrame, *, shards: int = 16, id_col: str = "doc_id", t
     dealt = slim.join(big_df, "key", "left").join(cell_df, "cell", "left").select(
         "doc_id", "size", "text_crc32", F.coalesce("big_shard", "cell_shard").alias("shard"), F.coalesce(F.col("big_unit") + part, "cell_unit").alias("unit")
     )
-    # at most 2 * cells + shards * LARGE_PER_SHARD units
+    # at most 4 * cells + shards * LARGE_PER_SHARD units
     counts = sorted((r["shard"], r["unit"], r["count"]) for r in dealt.groupBy("shard", "unit").count().collect())
     offsets, at, last = [], 0, None
     for shard, unit, n in counts:

@@ -1,0 +1,21 @@
+"""A group of many very short texts is numbered in parts."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+
+def test_many_empty_texts_are_dealt_out(spark):
+    from kelpie.llm import sharding
+
+    rows = [(k, None if k % 2 else "") for k in range(300)] + [(1000 + k, f"text {k} " * 300) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.shard_groups(docs, shards=2, cells=30)
+    got = out.collect()
+    empty = [r for r in got if r.size == 1]
+    assert len({r.shard for r in empty}) == 1 and len(got) == 900
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    # one part is numbered by id in a row; a group in parts is not
+    order = [r.doc_id for r in sorted(empty, key=lambda r: r.slot)]
+    assert order != sorted(order) and Counter(order) == Counter(range(300))
