@@ -88,6 +88,11 @@ def slices(offsets: np.ndarray, most: int):
         i = j
 
 
+def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places start[i], start[i] + 1, ... of each range, count[i] of them, in a row."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - start, count)
+
+
 # --- words and their hashes ----------------------------------------------------------------------------------------
 
 _ODD = 0x9E3779B97F4A7C15 | 1
