@@ -16,8 +16,11 @@ DEFAULT_SHARED_DIR = "/tmp/checkpoints/kelpie"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{DEFAULT_SHARED_DIR}").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where the session is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or f"file://{DEFAULT_SHARED_DIR}").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -168,19 +171,22 @@ def annotate(docs: DataFrame, compute, fields: str, *, text_col: str = "text", c
     """Append what compute(text column of an Arrow batch) gives to each row; no shuffle, one pass.
 
     fields is the DDL of the appended columns; compute returns their Arrow arrays in order. carry lists the input columns
-    to keep (default: all). An input column with the name of an appended one is replaced by it.
+    to keep (default: all). An input column with the name of an appended one is replaced by it. A kept text goes to Python
+    once.
     """
     added = docs.sparkSession.createDataFrame([], fields).schema
     names = [f.name for f in added]
     kept = [c for c in (docs.columns if carry is None else carry) if c not in names]
     schema = type(added)([docs.schema[c] for c in kept] + list(added))
-    hidden = "text_to_annotate"
-    while hidden in kept:
-        hidden += "_"
+    columns, at = [F.col(f"`{c}`") for c in kept], len(kept)
+    if text_col in kept and docs.schema[text_col].dataType.simpleString() == "string":
+        at = kept.index(text_col)
+    else:
+        columns.append(F.col(f"`{text_col}`").cast("string").alias("".join(kept) + "text"))  # a name that no other column has
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *compute(batch.column(batch.num_columns - 1))], [*kept, *names])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *compute(batch.column(at))], [*kept, *names])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(hidden)).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(run, schema)
