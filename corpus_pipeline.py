@@ -18,18 +18,32 @@ from kelpie.llm.pii import redact
 from kelpie.llm.toxicity import THRESHOLD, held_out, toxicity
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with doc_id, text and numbered names for all other columns, so that no operator's own column meets one of them;
+    and the names to put back."""
+    names = {f"column_{k}": c for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return docs.withColumnsRenamed({c: k for k, c in names.items()}), names
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least THRESHOLD go. Labels of the held-out fold are not learnt from."""
-    scored = toxicity(docs, table(spark, sf_dir, "labels"), may_learn=~held_out())
-    return scored.filter(F.col("toxicity_score") < THRESHOLD).select(*docs.columns)
+    """Documents that score at least THRESHOLD go. Labels of the held-out fold are not learnt from.
+
+    A null or empty text scores as an empty window and stays; rows that repeat stay or go alike. Columns of any name stay
+    as they are; an empty table gives no rows.
+    """
+    slim, names = plain(docs)
+    scored = toxicity(slim, table(spark, sf_dir, "labels"), may_learn=~held_out())
+    return scored.filter(F.col("toxicity_score") < THRESHOLD).select(*slim.columns).withColumnsRenamed(names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents one row stays: that of the least id, a null id being the largest.
 
     Texts are linked, whatever their ids: rows that share an id, or have none, stay or go by their own text. Rows without
-    words link with nothing: they stay, one of those that repeat an id and a text; all where the id is null.
+    words link with nothing: they stay, one of those that repeat an id and a text; all where the id is null. Columns of any
+    name stay as they are; an empty table gives no rows.
     """
+    docs, names = plain(docs)
     key, id_ = F.xxhash64("text").alias("text_key"), F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     keyed = docs.filter(worded).select(*docs.columns, key)
@@ -43,23 +57,34 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     named = once.join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_key") == F.col("s.text_key")), "left_semi")
     blank = docs.filter(~worded).select(*docs.columns, key)
     blank = blank.filter("doc_id is not null").dropDuplicates(["doc_id", "text_key"]).unionByName(blank.filter("doc_id is null"))
-    return named.unionByName(blank).select(*docs.columns)
+    return named.unionByName(blank).select(*docs.columns).withColumnsRenamed(names)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages make up a twentieth or more of the words go; the others stay whole."""
-    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return judged.filter(~F.col("contaminated")).select(*docs.columns)
+    """Documents of which benchmark passages make up a twentieth or more of the words go; the others stay whole.
+
+    Null and empty texts have no words and stay, and so does everything where the benchmark is empty. Rows that repeat stay
+    or go alike. Columns of any name stay as they are; an empty table gives no rows.
+    """
+    slim, names = plain(docs)
+    judged = decontaminate(slim, table(spark, sf_dir, "benchmark"))
+    return judged.filter(~F.col("contaminated")).select(*slim.columns).withColumnsRenamed(names)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; spans of personal data become their kind in brackets, and n_chars follows the text."""
-    clean = redact(docs)
+    """Every document stays; spans of personal data become their kind in brackets, and n_chars follows the text.
+
+    Null texts stay null, with their n_chars, and empty ones empty. Columns of any name stay as they are; an empty table
+    gives no rows.
+    """
+    slim, names = plain(docs)
+    clean = redact(slim).withColumnsRenamed(names)
     return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a sequence."""
+    """One row per piece of a sequence; a null or empty text is one id long, rows that repeat are packed each on its own,
+    other columns are left behind, and an empty table gives no rows."""
     return pack_documents(docs)
 
 
