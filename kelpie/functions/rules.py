@@ -20,12 +20,21 @@ def tags(text: Column, patterns: dict[str, str], fallback: str) -> Column:
     return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit(fallback)))
 
 
-def derived_status(stored: Column, deadline: Column, published: Column, today: Column, stale_days: int = 45) -> Column:
-    """A notice's status on a day: final states stay, a past deadline closes, and so does a long silence without one."""
+def derived_status(stored: Column, deadline: Column, published: Column, today: Column, stale_days: int = 45, *, preview: Column | None = None, valid_until: Column | None = None, clarifies_today: Column | None = None, closed_by_import: Column | None = None) -> Column:
+    """A notice's status on a day, by the first rule that holds: final and suspended states stay; a planned one of a preview
+    source stays; an award stays unless bids are still open; a past deadline or end of validity closes; a clarification
+    meeting today shows; a long silence without any end date closes, unless the source's own import closes its rows; else
+    the notice is open."""
+    never = F.lit(False)
+    valid_until = F.lit(None).cast("date") if valid_until is None else valid_until
+    silent = deadline.isNull() & valid_until.isNull() & ~F.coalesce(never if closed_by_import is None else closed_by_import, never)
     return F.coalesce(
         F.when(stored.isin("cancelled", "deserted", "suspended"), stored),
-        F.when((stored == "awarded") & ~F.coalesce(deadline >= today, F.lit(False)), stored),
-        F.when((deadline < today) | (deadline.isNull() & (published < F.date_sub(today, stale_days))), F.lit("submission_closed")),
+        F.when((stored == "planned") & (never if preview is None else preview), stored),
+        F.when((stored == "awarded") & ~F.coalesce(deadline >= today, never), stored),
+        F.when((deadline < today) | (valid_until < today), F.lit("submission_closed")),
+        F.when(never if clarifies_today is None else clarifies_today, F.lit("clarification")),
+        F.when(silent & (published < F.date_sub(today, stale_days)), F.lit("submission_closed")),
         F.lit("open"),
     )
 
