@@ -29,3 +29,12 @@ def tier(value: Column, floors: tuple[tuple[float, str], ...], below: str) -> Co
     for floor, name in reversed(floors):
         out = F.when(value >= floor, name).otherwise(out)
     return out
+
+
+def unit_band(code: Column, bands: dict[str, tuple[float | None, float | None]], rate: float) -> Column:
+    """(low, high) in the base currency for a procedure code whose amounts lie between multiples of a unit."""
+    low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for name, (a, b) in bands.items():
+        low = F.when(code == name, F.lit(None if a is None else a * rate).cast("double")).otherwise(low)
+        high = F.when(code == name, F.lit(None if b is None else b * rate).cast("double")).otherwise(high)
+    return F.struct(low.alias("low"), high.alias("high"))

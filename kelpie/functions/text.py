@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,14 +44,20 @@ def search_match(text: Column, query: str, synonyms: dict[str, list[str]] | None
     compact form; an ASCII synonym only as a whole word. A blank query matches all."""
     wide, tight = spaced(text), compact(text)
     out = F.lit(True)
-    for word in query.lower().translate(str.maketrans(_FROM, _TO)).split():
+    for word in folded_words(query):
         hit = F.contains(wide, F.lit(word)) | F.contains(tight, F.lit(word))
         for s in (synonyms or {}).get(word, []):
-            hit = hit | (wide.rlike(f"(?<![a-z0-9]){s}(?![a-z0-9])") if s.isascii() else F.contains(wide, F.lit(s)))
+            part = " ".join(folded_words(s))
+            hit = hit | (wide.rlike(f"(?<![a-z0-9]){re.escape(part)}(?![a-z0-9])") if part.isascii() else F.contains(wide, F.lit(part)))
         out = out & hit
     return F.coalesce(out, F.lit(False))
 
 
+def folded_words(query: str) -> list[str]:
+    """The words of a query as spaced() writes a text's: folded, and parted at anything but letters and digits."""
+    return re.findall(r"[^\W_]+", query.translate(str.maketrans(_FROM, _TO)).lower())
+
+
 def token_set(text: Column, stop: tuple[str, ...] = (), least: int = 3) -> Column:
     """Distinct folded tokens of at least `least` characters that are not stop words."""
     return F.array_distinct(F.filter(F.split(spaced(text), " "), lambda t: (F.length(t) >= least) & ~t.isin(*stop) if stop else F.length(t) >= least))
@@ -68,7 +76,7 @@ def bounded_count(text: Column, needle: str, most: int = 4) -> Column:
 
 def html_text(html: Column) -> Column:
     """Visible text: scripts, styles and tags go, common entities are decoded, white space is collapsed."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
     bare = F.regexp_replace(bare, r"<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(char))

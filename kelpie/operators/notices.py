@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpie.functions.rules import first_match
+from kelpie.session import stored
 
 
 def gated(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
@@ -70,9 +71,23 @@ def sibling_filled(df: DataFrame, family: str, order: list[Column], fields: list
 
 
 def page(df: DataFrame, order: list[Column], number: int, rows: int) -> DataFrame:
-    """One page; a number outside 1 to the last page is moved to the nearest."""
-    pages = max(1, -(-df.count() // rows))
-    return df.orderBy(*order).offset((min(max(number, 1), pages) - 1) * rows).limit(rows)
+    """One page; a number outside 1 to the last page is moved to the nearest. order is total.
+
+    Rows are dealt to partitions by ranges of the order and stored, since another run might draw other ranges. The counts,
+    one number a partition, tell which partitions hold the page, so no task ever holds more than its own range, however late
+    the page is.
+    """
+    ranged = stored(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "pages")
+    counts = ranged.groupBy("part_").agg(F.count("*").alias("n_"))
+    upto = W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)
+    # one row a partition of the exchange
+    starts = counts.select("part_", "n_", F.coalesce(F.sum("n_").over(upto), F.lit(0)).alias("before_"), F.sum("n_").over(W.partitionBy()).alias("all_"))
+    pages = F.greatest(F.ceil(F.col("all_") / rows), F.lit(1))
+    first = (F.least(F.greatest(F.lit(number), F.lit(1)), pages) - 1) * rows
+    hit = starts.withColumn("first_", first).filter((F.col("before_") < F.col("first_") + rows) & (F.col("before_") + F.col("n_") > F.col("first_")))
+    held = ranged.join(F.broadcast(hit.select("part_", "before_", "first_")), "part_")
+    place = F.col("before_") + F.row_number().over(W.partitionBy("part_").orderBy(*order))
+    return held.withColumn("place_", place).filter((F.col("place_") > F.col("first_")) & (F.col("place_") <= F.col("first_") + rows)).select(*df.columns)
 
 
 def floor_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], width: float) -> DataFrame:

@@ -11,34 +11,52 @@ from kelpie.functions.text import overlap, spaced, token_set
 ANCHOR_WORDS = 3
 
 
-def _runs(words: str, length: int) -> Column:
-    """At each word, the words from there on, at most `length` of them."""
-    return F.transform(words, lambda x, i: F.array_join(F.slice(F.col(words), i + 1, F.lit(length)), " "))
-
-
 def contained_phrases(docs: DataFrame, doc_id: str, text: str, phrases: DataFrame, phrase_id: str, phrase: str) -> DataFrame:
     """(doc_id, phrase_id) where all words of a phrase stand in a row in a text.
 
-    Texts and phrases meet on the phrase's first words (an equi-join), then the whole phrase is compared, so neither side
-    is broadcast nor crossed. A phrase of fewer than ANCHOR_WORDS words meets on its own words alone. A phrase without
-    words is in no text.
+    Texts and phrases meet on the phrase's first ANCHOR_WORDS words, or all of fewer. Each place of a text carries its next
+    words, as many as the longest phrase has, so the whole phrase is compared where they meet and no text is joined again.
+    Places whose word no phrase begins with are dropped first, by a semi-join on that word. A phrase without words is in no
+    text.
     """
     wanted = phrases.select(phrase_id, spaced(F.col(phrase)).alias("p_")).filter("p_ <> ''")
     wanted = wanted.withColumn("w_", F.split("p_", " ")).withColumn("k_", F.least(F.size("w_"), F.lit(ANCHOR_WORDS)))
-    wanted = wanted.withColumn("anchor_", F.array_join(F.slice("w_", F.lit(1), F.col("k_")), " ")).select(phrase_id, "p_", "anchor_")
-    words = docs.select(doc_id, spaced(F.col(text)).alias("t_")).withColumn("w_", F.split("t_", " "))
-    runs = [_runs("w_", k) for k in range(1, ANCHOR_WORDS + 1)]
-    anchors = words.select(doc_id, F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("anchor_"))
-    met = anchors.join(wanted, "anchor_").select(doc_id, phrase_id, "p_")
-    inside = F.contains(F.concat(F.lit(" "), F.col("t_"), F.lit(" ")), F.concat(F.lit(" "), F.col("p_"), F.lit(" ")))
-    return met.join(words.select(doc_id, "t_"), doc_id).filter(inside).select(doc_id, phrase_id).distinct()
+    wanted = wanted.withColumn("anchor_", F.xxhash64(F.array_join(F.slice("w_", F.lit(1), F.col("k_")), " ")))
+    sizes = wanted.agg(F.max(F.size("w_")).alias("most_"), F.collect_set("k_").alias("lengths_")).first()
+    if not sizes["most_"]:
+        return docs.join(phrases, F.lit(False)).select(doc_id, phrase_id)
+    words = docs.select(doc_id, F.split(spaced(F.col(text)), " ").alias("w_"))
+    places = words.select(doc_id, "w_", F.posexplode("w_").alias("at_", "first_"))
+    # the first word alone tells most places apart from all phrases; a phrase's first words are few
+    openers = wanted.select(F.element_at("w_", 1).alias("first_")).distinct()
+    places = places.join(openers, "first_", "left_semi")
+    runs = F.array(*[F.xxhash64(F.array_join(F.slice("w_", F.col("at_") + 1, F.lit(k)), " ")) for k in sorted(sizes["lengths_"])])
+    tail = F.concat(F.array_join(F.slice("w_", F.col("at_") + 1, F.lit(sizes["most_"])), " "), F.lit(" "))
+    met = places.select(doc_id, tail.alias("t_"), F.explode(runs).alias("anchor_")).join(wanted.select(phrase_id, "p_", "anchor_"), "anchor_")
+    return met.filter(F.startswith("t_", F.concat("p_", F.lit(" ")))).select(doc_id, phrase_id).distinct()
 
 
 def similar_names(left: DataFrame, right: DataFrame, block: list[str], a_id: str, b_id: str, a: str, b: str, least: float) -> DataFrame:
-    """Pairs of one block whose token sets share at least `least` of the smaller set. They meet on shared tokens only."""
-    x = left.select(*block, a_id, token_set(F.col(a)).alias("x_"))
-    y = right.select(*block, b_id, token_set(F.col(b)).alias("y_"))
-    met = x.withColumn("t_", F.explode("x_")).join(y.withColumn("t_", F.explode("y_")), [*block, "t_"]).drop("t_").dropDuplicates([a_id, b_id])
+    """Pairs of one block whose token sets share at least `least` of the smaller set.
+
+    Tokens are put in order, rare ones first by their count in the block. Two sets that share that much of the smaller one
+    share a token among the first size - ceil(least * size) + 1 of it, so the smaller set's prefix meets all tokens of the
+    other: common tokens, which stand last, bring hardly any pairs together.
+    """
+    x = left.select(*block, F.col(a_id), token_set(F.col(a)).alias("x_"))
+    y = right.select(*block, F.col(b_id), token_set(F.col(b)).alias("y_"))
+    each = x.select(*block, F.explode("x_").alias("t_")).union(y.select(*block, F.explode("y_").alias("t_")))
+    counts = each.groupBy(*block, "t_").agg(F.count("*").alias("c_"))
+
+    def prefixed(df: DataFrame, id_: str, tokens: str) -> DataFrame:
+        rows = df.select(*block, id_, tokens, F.explode(tokens).alias("t_")).join(counts, [*block, "t_"])
+        ranked = rows.withColumn("r_", F.row_number().over(W.partitionBy(*block, id_).orderBy("c_", "t_")))
+        return ranked.withColumn("in_", F.col("r_") <= F.size(tokens) - F.ceil(least * F.size(tokens)) + 1)
+
+    p, q = prefixed(x, a_id, "x_"), prefixed(y, b_id, "y_")
+    n, m = F.size("x_"), F.size("y_")
+    met = p.alias("p").join(q.alias("q"), [*block, "t_"]).filter(F.when(n <= m, F.col("p.in_")).otherwise(F.col("q.in_")))
+    met = met.select(a_id, b_id, "x_", "y_").dropDuplicates([a_id, b_id])
     return met.withColumn("overlap", overlap(F.col("x_"), F.col("y_"))).filter(F.col("overlap") >= least).select(a_id, b_id, "overlap")
 
 

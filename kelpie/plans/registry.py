@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.plans import board, events, listing, merges, notices, streams, texts
+from kelpie.plans import board, events, listing, merges, notices, reports, streams, texts, wording
 
 Query = Callable[[SparkSession, str], DataFrame]
-_FAMILIES = [board, events, listing, merges, notices, streams, texts]
+_FAMILIES = [board, events, listing, merges, notices, reports, streams, texts, wording]
 
 
 def queries() -> dict[str, Query]:

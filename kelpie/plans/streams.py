@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from kelpie.session import shared_folder, table
 from kelpie.streaming import events as ops
 
 TYPES = ["signup", "purchase", "view", "click"]
@@ -21,9 +20,7 @@ def query(sql: str):
 
 
 def _folder(spark) -> str:
-    """A new folder where spark.checkpoint.dir says, or a local one where it is unset (tests)."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/kelpie").rstrip("/")
-    return f"{base}/streams/{uuid.uuid4().hex}"
+    return shared_folder(spark, "streams")
 
 
 def _log(spark, d):
@@ -47,7 +44,13 @@ def stream_state_changes(spark, d):
 @query("""WITH m AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM m) SELECT user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(spark, d):
-    """In complete mode the last batch holds all sessions."""
-    batches = ops.run_once(ops.session_counts(_log(spark, d)), _folder(spark), "complete")
-    last = batches.agg(F.max("batch")).first()[0]
-    return batches.filter(F.col("batch") == last).select("user_id", "n")
+    """A session is written once, when the watermark has passed its end; a last event far ahead, which has no part in the
+    result, closes those that are still open."""
+    folder = _folder(spark)
+    log = table(spark, d, "events").select("user_id", "ts")
+    end = log.agg(F.lit(None).cast("bigint").alias("user_id"), (F.max("ts") + F.expr("interval 30 days")).alias("ts")).filter("ts is not null")
+    log.write.parquet(f"{folder}/log/part=0")
+    ops.run_once(ops.session_counts(ops.event_stream(spark, f"{folder}/log")), folder, "append")
+    end.write.parquet(f"{folder}/log/part=1")
+    batches = ops.run_once(ops.session_counts(ops.event_stream(spark, f"{folder}/log")), folder, "append")
+    return batches.filter("user_id is not null").select("user_id", "n")

@@ -37,6 +37,13 @@ def blocks(df: DataFrame, text: str, starts: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != text], F.posexplode(cut).alias("position", "block")).filter("position > 0")
 
 
+def fields(df: DataFrame, block: str, labels: dict[str, str]) -> DataFrame:
+    """Append a column for each label of a pasted block: what follows the label and a colon or tab on its line, trimmed; null
+    where the label does not occur. labels: new column -> the label's pattern."""
+    found = {c: F.nullif(F.trim(F.regexp_extract(block, rf"(?im)^[ \t]*(?:{p})[ \t]*[:\t][ \t]*([^\r\n]*)", 1)), F.lit("")) for c, p in labels.items()}
+    return df.withColumns(found)
+
+
 def packages(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
     """(path, member, content) of ZIP files; one task holds one member at a time. A broken archive fails the job."""
 

@@ -46,17 +46,18 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "2 ho
 
 def _changes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last = state.get[0] if state.exists else None
-    rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-    known = rows["event_type"].tolist()
-    before = [last, *known[:-1]]
-    state.update((known[-1],))
-    out = pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "old": before, "new": known})
-    yield out[out["old"].notna() & (out["old"] != out["new"])]
+    for rows in parts:  # one Arrow batch at a time
+        rows = rows.sort_values(["ts", "event_id"])
+        known = rows["event_type"].tolist()
+        out = pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "old": [last, *known[:-1]], "new": known})
+        last = known[-1] if known else last
+        yield out[out["old"].notna() & (out["old"] != out["new"])]
+    state.update((last,))
 
 
 def state_changes(events: DataFrame) -> DataFrame:
-    """A row whenever a user's event differs in type from the one before. State: one word per user. Rows of a batch are
-    put in order of time; across batches, arrival decides. Events without user or type are left out."""
+    """A row whenever a user's event differs in type from the one before. State: one word per user. Rows of an
+    Arrow batch are put in order of time; across batches, arrival decides, as memory is not to grow with a user's rows. Events without user or type are left out."""
     some = events.filter("user_id is not null and event_type is not null").select("user_id", "event_id", "ts", "event_type")
     return some.groupBy("user_id").applyInPandasWithState(_changes, CHANGE_FIELDS, "last string", "append", GroupStateTimeout.NoTimeout)
 
@@ -67,6 +68,31 @@ def ordered_state_changes(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_id", before.alias("old"), F.col("event_type").alias("new")).filter("old <> new")
 
 
+def _hits(seconds: int, most: int):
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        for rows in parts:
+            rows = rows.sort_values(["micros", "event_id"])
+            ids, allowed = rows["event_id"].tolist(), []
+            for at in rows["micros"].tolist():
+                held = [x for x in held if x > at - seconds * 1_000_000][-most:]
+                allowed.append(len(held) < most)
+                if allowed[-1]:
+                    held.append(at)
+            yield pd.DataFrame({"user_id": key[0], "event_id": ids, "allowed": allowed})
+        state.update((held,))
+
+    return run
+
+
+def rate_limited(events: DataFrame, seconds: int = 60, most: int = 60) -> DataFrame:
+    """(user_id, event_id, allowed): an event is allowed while fewer than `most` allowed ones of its user lie in the last
+    `seconds`, the far end excluded. State: at most `most` times a user. Rows of a
+    user in one Arrow batch are put in order of time; events without a user are left out."""
+    some = events.filter("user_id is not null").select("user_id", "event_id", F.unix_micros(F.col("ts")).alias("micros"))
+    return some.groupBy("user_id").applyInPandasWithState(_hits(seconds, most), "user_id long, event_id long, allowed boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_once(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
     """Process all that has arrived and return the rows of every batch with their batch number.
 
