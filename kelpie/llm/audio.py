@@ -19,11 +19,15 @@ from pyspark.sql import functions as F
 from kelpie.llm.common import crc32, materialize, quiet_threads, table
 
 RATE = 8000
-UP, DOWN, TAPS = 1, 2, 24
+UP, DOWN, TAPS = 3, 8, 24
 FRAME, HOP, MELS = 128, 64, 16
 TILE_FRAMES = 32
 UNIT = 64
-RESULT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, segments array<struct<start_ms:double,end_ms:double>>, tensors binary, feature string"
+BLOCK_FRAMES = 4096
+RESULT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, segments array<struct<start_ms:double,end_ms:double>>, tensors binary, summary string"
+
+
+_made: dict[tuple, np.ndarray] = {}
 
 
 def padded(data: bytes, unit: int = UNIT) -> bytes:
@@ -58,21 +62,27 @@ def low_pass(up: int, down: int, taps: int) -> np.ndarray:
     return (cut * np.sinc(cut * n) * np.hamming(taps * up) * up).astype(np.float32)
 
 
-def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
-    """Polyphase resampling by up / down: each output phase has its own branch of the filter; no zeros are inserted."""
-    h = low_pass(up, down, taps)
+def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Samples first to last of the signal resampled by up / down. Each output phase has its own branch of the filter, so no
+    zeros are inserted; any range is what it is in the whole."""
+    h = _made.get(("h", up, down, taps))
+    if h is None:
+        h = _made["h", up, down, taps] = low_pass(up, down, taps)
     n = -(-len(x) * up // down)
-    out = np.zeros(n, np.float32)
+    last = n if last is None else min(last, n)
+    out = np.zeros(max(last - first, 0), np.float32)
     delay = taps // 2
-    wide = np.concatenate([np.zeros(taps, np.float32), x, np.zeros(taps + down, np.float32)])
-    for first in range(min(up, n)):
-        phase, base = (first * down) % up, (first * down) // up
-        count = -(-(n - first) // up)
+    low = first * down // up - taps + delay  # the first input that the range needs
+    high = last * down // up + delay + down + 1
+    wide = np.concatenate([np.zeros(max(0, -low), np.float32), x[max(low, 0) : max(high, 0)], np.zeros(max(0, high - len(x)), np.float32)])
+    for m in range(first, min(first + up, last)):
+        phase, base = m * down % up, m * down // up - low
+        count = -(-(last - m) // up)
         branch = np.zeros(count, np.float32)
         for j in range(taps):
-            s = base - j + taps + delay
+            s = base - j + delay
             branch += h[phase + j * up] * wide[s : s + down * (count - 1) + 1 : down]
-        out[first::up] = branch
+        out[m - first :: up] = branch
     return out
 
 
@@ -94,9 +104,6 @@ def log_mel(x: np.ndarray, rate: float, frame: int = FRAME, hop: int = HOP, mels
     return np.log(power.astype(np.float32) @ _filters(rate, frame, mels) + 1e-6)
 
 
-_made: dict[tuple, np.ndarray] = {}
-
-
 def _filters(*key) -> np.ndarray:
     if key not in _made:
         _made[key] = mel_filters(*key)
@@ -110,10 +117,30 @@ def hysteresis(energy: np.ndarray, high: float, low: float) -> list[tuple[int, i
     return [(int(a), int(b)) for a, b in zip(begin, end, strict=True) if (energy[a:b] > high).any()]
 
 
+def frame_count(n: int, frame: int = FRAME, hop: int = HOP) -> int:
+    """Frames of n samples; a signal shorter than a frame is padded to one."""
+    return 1 + max(0, n - frame) // hop
+
+
+def mel_blocks(samples: np.ndarray, rate: float):
+    """log_mel of a recording, BLOCK_FRAMES frames at a time, so that memory does not grow with its length."""
+    n = -(-len(samples) * UP // DOWN)
+    frames = frame_count(n)
+    for i in range(0, frames, BLOCK_FRAMES):
+        j = min(i + BLOCK_FRAMES, frames)
+        low, high = i * HOP, (j - 1) * HOP + FRAME
+        # the inputs of this block, as numbers from -1 to 1, with what the filter reaches beside them
+        a = max(0, low * DOWN // UP - 2 * TAPS) // DOWN * DOWN
+        b = high * DOWN // UP + 2 * TAPS + DOWN
+        x = (samples[a:b].astype(np.float32) - 128) / 128
+        shift = a // DOWN * UP
+        yield log_mel(resample(x, first=low - shift, last=min(high, n) - shift), rate)
+
+
 def tensor_file(mel: np.ndarray, hop_ms: float) -> bytes:
-    """An Arrow stream: tiles of TILE_FRAMES frames (the last one padded with zeros) and the time span of each."""
+    """An Arrow stream: tiles of TILE_FRAMES frames in half precision (the last one padded with zeros) and each one's span."""
     tiles = -(-len(mel) // TILE_FRAMES)
-    block = np.zeros((tiles, TILE_FRAMES, mel.shape[1]), np.float32)
+    block = np.zeros((tiles, TILE_FRAMES, mel.shape[1]), np.float16)
     block.reshape(-1, mel.shape[1])[: len(mel)] = mel
     start = np.arange(tiles) * TILE_FRAMES
     columns = [pa.array(start * hop_ms), pa.array(np.minimum(start + TILE_FRAMES, len(mel)) * hop_ms), pa.FixedShapeTensorArray.from_numpy_ndarray(block)]
@@ -132,10 +159,8 @@ def read_tensors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def features(samples: bytes, rate: int) -> tuple[list[tuple[float, float]], bytes, str]:
     """(segments in ms, tensor file, summary) of 8-bit samples."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    x = resample(x)
     hop_ms = 1000 * HOP * DOWN / (rate * UP)
-    mel = log_mel(x, rate * UP / DOWN)
+    mel = np.concatenate(list(mel_blocks(np.frombuffer(samples, np.uint8), rate * UP / DOWN)))
     energy = mel.mean(1)
     middle, spread = float(energy.mean()), float(energy.std())
     parts = [(a * hop_ms, b * hop_ms) for a, b in hysteresis(energy, middle + 0.5 * spread, middle - 0.25 * spread)]
@@ -165,7 +190,7 @@ def _read(batches):
                 for c, v in zip(cols, (len(samples), hashlib.sha256(samples).hexdigest(), crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), [{"start_ms": a, "end_ms": b} for a, b in parts], tensors, summary), strict=True):
                     c.append(v)
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), segment, pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "segments", "tensors", "feature"])
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "segments", "tensors", "summary"])
 
 
 def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,13 +203,17 @@ def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def audio_features(media: DataFrame) -> DataFrame:
-    """RESULT for each stored recording; equal recordings give equal values. An empty table gives no rows."""
-    return media.mapInArrow(_read, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, {RESULT}")
+    """RESULT for each stored recording, written to the shared folder and read back: the tensors lie beside their recording's
+    segments and spans. Equal recordings give equal values. An empty table gives no rows."""
+    kind = media.schema["doc_id"].dataType.simpleString()
+    return materialize(media.mapInArrow(_read, f"doc_id {kind}, {RESULT}"), "audio-tensors")
 
 
 def op4_audio_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audio_features(store_media(table(spark, sf_dir, "documents")))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    # the feature tells of the tensors as they were read back
+    feature = F.concat("summary", F.lit(";tensors="), F.hex(F.crc32("tensors")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
 QUERIES = {"op4_audio_tensors": op4_audio_tensors}
