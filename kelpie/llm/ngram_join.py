@@ -109,7 +109,7 @@ def _describe(words: int):
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["doc_id", "n", "node", *_PARITY, "coarse", "slot", "count"]
+        names = ["doc_id", "text_key", "n", "node", *_PARITY, "coarse", "slot", "count"]
         for batch in batches:
             rows, fine = [], []
             for s in shingle_sets(batch.column(1), words):
@@ -118,10 +118,10 @@ def _describe(words: int):
                 fine.append(coarse(s))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * (2 + PARITY_WORDS)
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols), pa.array(fine, pa.binary()), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in cols), pa.array(fine, pa.binary()), none, none], names)
         slot = np.flatnonzero(counts)
         none = pa.nulls(len(slot), pa.int64())
-        yield pa.RecordBatch.from_arrays([none] * (3 + PARITY_WORDS) + [pa.nulls(len(slot), pa.binary()), pa.array(slot), pa.array(counts[slot])], names)
+        yield pa.RecordBatch.from_arrays([none] * (4 + PARITY_WORDS) + [pa.nulls(len(slot), pa.binary()), pa.array(slot), pa.array(counts[slot])], names)
 
     return run
 
@@ -181,8 +181,14 @@ def _sets(words: int):
     """(node, shingles) of documents that have the wanted node."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            found = [(node, pack_set(s)) for s, node in zip(shingle_sets(batch.column(0), words), batch.column(1).to_pylist(), strict=True) if node_id(s) == node]
+            found = []
+            for s, node in zip(shingle_sets(batch.column(0), words), batch.column(1).to_pylist(), strict=True):
+                if node not in seen and node_id(s) == node:
+                    found.append((node, pack_set(s)))
+                    if len(seen) < 500_000:
+                        seen.add(node)  # rows that repeat id and text
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["node", "shingles"])
 
     return run
@@ -242,12 +248,12 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     n_links: how many other sets are similar to the document's own; documents with equal sets count as one. The pairs of
     a group then grow with the square of its different sets. Documents without
     words (null, empty, blank) have no shingles and link with nothing. Documents with equal sets are linked. Repeated rows
-    are each returned; rows that repeat an id with other texts are nodes of their own. A row with a null id links only with
-    equal texts, and its component is the null id where no equal text has one. Other columns are ignored. An empty table
+    are each returned; rows that repeat an id with other texts are nodes of their own. A row with a null id links by its
+    text like any other; its component is null where no row that links reach has an id. Other columns are ignored. An empty table
     gives no rows.
     """
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    described = materialize(slim.mapInArrow(_describe(words), ", ".join(f"{c} long" for c in ["doc_id", "n", "node", *_PARITY]) + ", coarse binary, slot long, count long"), "shingle-docs")
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    described = materialize(slim.mapInArrow(_describe(words), ", ".join(f"{c} long" for c in ["doc_id", "text_key", "n", "node", *_PARITY]) + ", coarse binary, slot long, count long"), "shingle-docs")
     sketch = described.filter("slot is not null").groupBy("slot").agg(F.sum("count").alias("count"))
     shingles = sketch.agg(F.sum("count")).first()[0] or 0
     mean = shingles / (1 << SKETCH_BITS)
@@ -255,9 +261,9 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     often = sketch.filter(F.col("count") > mean + 8 * mean**0.5 + 16).select("slot").toPandas()["slot"].to_numpy()  # at most 2**SKETCH_BITS
     flags[often] = True
 
-    rows = described.filter("slot is null").select("doc_id", "n", "node", *_PARITY, "coarse")
-    nodes = materialize(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in [*_PARITY, "coarse"]]), "nodes")
-    slim_nodes = nodes.drop("coarse")
+    rows = described.filter("slot is null").select("doc_id", "text_key", "n", "node", *_PARITY, "coarse")
+    nodes = materialize(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in [*_PARITY, "coarse"]]), "nodes")
+    slim_nodes = nodes.drop("coarse", "text_key")
 
     sigs = materialize(slim.select("text").mapInArrow(_index(np.packbits(flags).tobytes(), words, percent), "sig long, node long"), "signatures")
     pivots = [f"p{k}" for k in range(len(PIVOT_SEEDS))]
@@ -273,8 +279,10 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return materialize(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_plausible(percent), "u long, v long"), name)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "first_doc"), "node")
-        sets = slim.join(wanted, F.col("doc_id") == F.col("first_doc")).select("text", "node")
+        wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "first_doc", F.col("text_key").alias("key")), "node")
+        named = slim.join(wanted.filter("first_doc is not null"), F.col("doc_id") == F.col("first_doc")).select("text", "node")
+        unnamed = slim.filter("doc_id is null").join(wanted.filter("first_doc is null"), F.col("text_key") == F.col("key")).dropDuplicates(["node"]).select("text", "node")
+        sets = named.union(unnamed)
         sets = materialize(sets.mapInArrow(_sets(words), "node long, shingles binary"), "shingle-sets")
         a, b = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
         links = materialize(pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_verify(percent), "u long, v long").distinct(), "links")
