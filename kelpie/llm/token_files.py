@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kelpie.llm.common import crc32, materialize, new_path, table
 from kelpie.llm.tokens import END_ID, encoder, vocabulary_path
 
-ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
+ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(8 << 20), "compression": "zstd"}
 STORED = "doc_id long, ids array<int>"
 PARTITION_BYTES = 32 << 20
 
@@ -47,11 +47,11 @@ def _partitions(docs: DataFrame) -> int:
 def write_token_files(docs: DataFrame, path: str, *, vocabulary: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append end_id and write ORC files in ascending order of document ids.
 
-    A null or empty text becomes the end id alone. Repeated ids are kept, each as a row, ordered by their text. Rows whose
-    id is null come first. Other columns are ignored, whatever their names. An empty table gives files without rows.
+    A null or empty text becomes the end id alone. Repeated ids are kept, each as a row; where
+    one id, or no id, has very many rows, their texts' hashes deal them to several files. Rows whose id is null come first. Other columns are ignored, whatever their names. An empty table gives files without rows.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = slim.repartitionByRange(_partitions(slim), F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    ordered = slim.repartitionByRange(_partitions(slim), F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     encoded = ordered.mapInArrow(_encode(vocabulary or vocabulary_path(), end_id), STORED)
     encoded.write.options(**ORC_OPTIONS).orc(path)
 
