@@ -282,10 +282,11 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[_Block]:
         held, size = [], 0
 
     for r in benchmark.select(F.col(f"`{item_col}`"), F.col(f"`{text_col}`")).filter(F.col(f"`{item_col}`").isNotNull()).toLocalIterator():
-        if held and size + len(r[1] or "") > BLOCK_BYTES:
+        n = len((r[1] or "").encode())
+        if held and size + n > BLOCK_BYTES:
             close()
         held.append((r[0], r[1]))
-        size += len(r[1] or "")
+        size += n
     if held:
         close()
     return out
