@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import uuid
 import zlib
@@ -167,6 +168,13 @@ def quiet_threads() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps worker processes, and what one task has used would stay with them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def annotate(docs: DataFrame, compute, fields: str, *, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Append what compute(text column of an Arrow batch) gives to each row; no shuffle, one pass.
 
@@ -188,5 +196,6 @@ def annotate(docs: DataFrame, compute, fields: str, *, text_col: str = "text", c
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *compute(batch.column(at))], [*kept, *names])
+        give_back()
 
     return docs.select(*columns).mapInArrow(run, schema)

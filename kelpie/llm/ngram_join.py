@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import LOWER, NON_SPACE, discard, materialize, mix64, slices, span_hashes, table, utf8_of, word_spans
+from kelpie.llm.common import LOWER, NON_SPACE, discard, give_back, materialize, mix64, slices, span_hashes, table, utf8_of, word_spans
 from kelpie.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -120,6 +120,7 @@ def _describe(words: int):
             none = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in cols), pa.array(fine, pa.binary()), none, none], names)
         slot = np.flatnonzero(counts)
+        give_back()
         none = pa.nulls(len(slot), pa.int64())
         yield pa.RecordBatch.from_arrays([none] * (4 + PARITY_WORDS) + [pa.nulls(len(slot), pa.binary()), pa.array(slot), pa.array(counts[slot])], names)
 
@@ -173,6 +174,8 @@ def _index(flags: bytes, words: int, percent: int):
                 nodes.append(np.full(len(k), node, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+        seen.clear()
+        give_back()
 
     return run
 
@@ -205,6 +208,7 @@ def _verify(percent: int):
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([u[k] for k in keep], pa.int64()), pa.array([v[k] for k in keep], pa.int64())], ["u", "v"])
+        give_back()
 
     return run
 

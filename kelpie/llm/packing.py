@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import crc32, materialize, mix64, quiet_threads, ranges, table
+from kelpie.llm.common import crc32, give_back, materialize, mix64, quiet_threads, ranges, table
 from kelpie.llm.tokens import END_ID, encoder, vocabulary_path
 
 WINDOW = 4096
@@ -128,6 +128,7 @@ def _encode(path: str, end_id: int):
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([d.astype(kind).tobytes() for d in docs], pa.binary()), pa.array([len(d) for d in docs], pa.int64()), pa.array(np.arange(place, place + rows)), none, none], names)
                 place += rows
         term = np.flatnonzero(df)
+        give_back()
         none = pa.nulls(len(term), pa.int64())
         yield pa.RecordBatch.from_arrays([none, pa.nulls(len(term), pa.binary()), none, none, pa.array(term), pa.array(df[term])], names)
 
@@ -226,6 +227,8 @@ def _pack(path: str, window: int, corpus):
                 docs.append(np.frombuffer(data, kind))
         if docs:
             yield from flush()
+        ids, docs = [], []
+        give_back()
 
     return run
 
