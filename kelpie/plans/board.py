@@ -359,3 +359,84 @@ def chunks_by_size(spark, d):
     """Batches of a hundred rows inside each country."""
     rows = _board(spark, d).select("country", "id").withColumn("chunk", arrays.chunk_of(["country"], [F.asc("id")], 100))
     return rows.groupBy("country", "chunk").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
+_PAGE = f"""{_B}, f AS (SELECT * FROM b WHERE tier <> 'excluded' AND list_has_any(industries, ['roads', 'water', 'power']) AND status IN ('open', 'planned', 'clarification')), h AS (SELECT * FROM (SELECT *, dense_rank() OVER (ORDER BY pub DESC) AS run FROM f)), o AS (SELECT *, row_number() OVER (PARTITION BY pub ORDER BY id) AS p, row_number() OVER (PARTITION BY pub, country ORDER BY id) AS turn FROM h), l AS (SELECT *, min(p) OVER (PARTITION BY pub, country) AS lead FROM o)"""
+
+
+@query(f"""WITH {_PAGE} SELECT id, country, tier, status, array_to_string(industries, ',') AS industries, CASE WHEN o_custkey % 4 = 0 THEN value END AS value, CASE WHEN o_custkey % 4 <> 0 THEN CAST(CASE WHEN value < 1000 THEN 0 WHEN value < 5000 THEN 1 WHEN value < 25000 THEN 2 WHEN value < 100000 THEN 3 WHEN value < 200000 THEN 4 WHEN value < 350000 THEN 5 WHEN value IS NOT NULL THEN 6 END AS INTEGER) END AS value_band,
+CASE WHEN o_custkey % 4 = 0 THEN strftime(deadline, '%Y-%m-%d') ELSE strftime(deadline, '%Y-%m') END AS deadline, CAST(row_number() OVER (ORDER BY pub DESC, turn, lead) AS INTEGER) AS place, (SELECT count(*) FROM f WHERE status = 'open') AS live, (SELECT count(*) FROM f WHERE deadline BETWEEN {_T} AND {_T} + 5) AS due FROM l ORDER BY pub DESC, turn, lead LIMIT {base.PAGE_ROWS}""")
+def board_page(spark, d):
+    """The first page as a visitor reads it: facets, derived status, redacted values, countries in turns inside a day, and the
+    counters above the list. A page is the feature; only the newest days that fill it are put in turns."""
+    rows = ops.faceted(_board(spark, d), {"status": ["open", "planned", "clarification"]}, any_of={"industries": ["roads", "water", "power"]}, hide={"tier": "excluded"})
+    counters = rows.agg(F.count_if(F.col("status") == "open").alias("live"), F.count_if(F.col("deadline").between(_today(), F.date_add(_today(), 5))).alias("due"))
+    days = rows.groupBy("pub").agg(F.count("*").alias("n")).orderBy(F.desc("pub")).limit(base.PAGE_ROWS).select("pub")  # each day has a row
+    near = rows.join(F.broadcast(days), "pub", "left_semi")
+    turns = ops.interleaved_runs(near, ["pub"], "country", [F.asc("id")]).withColumnRenamed("place", "turn")
+    page = ops.first_rows(turns, [F.desc("pub"), F.asc("turn")], base.PAGE_ROWS)
+    member = F.col("o_custkey") % 4 == 0
+    return page.join(F.broadcast(counters)).select(
+        "id", "country", "tier", "status", F.array_join("industries", ",").alias("industries"), F.when(member, F.col("value")).alias("value"), F.when(~member, money.band(F.col("value"))).alias("value_band"),
+        access.redacted(member, F.date_format("deadline", "yyyy-MM-dd"), dates.month_precision(F.col("deadline"))).alias("deadline"), "place", "live", "due",
+    )
+
+
+@query()
+def sort_recommended(spark, d):
+    """Live notices: the showcase first, then by size and deadline with countries in turns; the rest by deadline classes."""
+    rows = _board(spark, d).filter("tier <> 'excluded'").withColumn("size", 3 - _weight())
+    live = _live(rows)
+    picks = ops.showcase(live, "id", "industries", "country", "size", ["deadline"], INDUSTRIES, 2).select("id", F.lit(0).alias("section"))
+    marked = rows.join(F.broadcast(picks), "id", "left").withColumn("section", F.coalesce("section", F.when(F.col("status").isin(*LIVE), 1).otherwise(2)))
+    head, tail = marked.filter("section < 2"), marked.filter("section = 2")
+    order = [F.asc_nulls_last("deadline"), F.asc("id")]
+    head = ops.interleaved_runs(head.withColumn("run", F.when(F.col("section") == 1, F.col("deadline"))), ["section", "size", "run"], "country", order)
+    tail = tail.withColumns({"run": F.lit(None).cast("date"), "place": F.lit(None).cast("int")})
+    return head.unionByName(tail).select("id", "section", "size", F.date_format("run", "yyyy-MM-dd").alias("run"), "place", F.date_format("deadline", "yyyy-MM-dd").alias("deadline"))
+
+
+_R = """r AS (SELECT p_partkey, lower(p_name) AS t, p_type AS kind, p_size AS size, CASE WHEN p_partkey % 9 <> 0 THEN p_retailprice * (p_partkey % 400) END AS v, p_partkey % 6 = 0 AS major, p_partkey % 300 AS days, p_partkey % 4 = 0 AS local, p_brand FROM part)"""
+
+
+@query(f"""WITH {_R} SELECT reason, tier, count(*) AS n FROM (SELECT CASE WHEN kind = 'PROMO' AND size < 5 THEN 'price only' WHEN p_brand = 'Brand#11' THEN 'direct award' WHEN kind = 'SMALL' AND size < 10 THEN 'price comparison' WHEN regexp_matches(t, '^old ') AND NOT major THEN 'maintenance' WHEN local AND v < 5000 THEN 'small local band' WHEN regexp_matches(t, '\\bplate\\b') AND size > 45 THEN 'no procurement'
+WHEN regexp_matches(t, 'gizmo') AND days < 20 THEN 'rental' WHEN p_brand IN ('Brand#55', 'Brand#44') AND major THEN 'included' WHEN t = '' THEN 'no content' WHEN p_brand = 'Brand#12' THEN 'excluded buyer' WHEN regexp_matches(t, '^small (ring|nut)') THEN 'excluded words' WHEN kind = 'STANDARD' AND size = 1 THEN 'insurance' WHEN regexp_matches(t, 'bolt') AND v < 20000 THEN 'bare materials' WHEN local AND regexp_matches(t, 'cold') THEN 'municipal'
+WHEN kind = 'ECONOMY' AND days BETWEEN 1 AND 30 THEN 'short term' WHEN v < 20000 THEN 'value floor' WHEN v < 40000 AND size < 10 THEN 'small works' WHEN major AND v < 60000 THEN 'demoted' WHEN v >= 300000 OR (major AND v >= 200000) THEN 'flagship' WHEN v >= 150000 THEN 'significant' WHEN v IS NULL AND local THEN 'undisclosed local' WHEN v IS NULL AND major THEN 'undisclosed major' WHEN NOT regexp_matches(t, 'widget|gear|bolt|ring|plate|valve|gizmo|screw|nut') THEN 'no industry' ELSE 'standard' END AS reason FROM r) z
+JOIN (VALUES ('price only', 'excluded'), ('direct award', 'excluded'), ('price comparison', 'excluded'), ('maintenance', 'excluded'), ('small local band', 'excluded'), ('no procurement', 'excluded'), ('rental', 'excluded'), ('included', 'significant'), ('no content', 'excluded'), ('excluded buyer', 'excluded'), ('excluded words', 'excluded'), ('insurance', 'excluded'), ('bare materials', 'excluded'), ('municipal', 'excluded'), ('short term', 'excluded'), ('value floor', 'excluded'), ('small works', 'excluded'), ('demoted', 'standard'), ('flagship', 'flagship'), ('significant', 'significant'), ('undisclosed local', 'excluded'), ('undisclosed major', 'significant'), ('no industry', 'excluded'), ('standard', 'standard')) m(reason, tier) USING (reason) GROUP BY 1, 2""")
+def relevance_reasons(spark, d):
+    """A long decision list with its reasons: what is no procurement, what is too small, what is raised and why."""
+    k, t, v = F.col("p_partkey"), F.lower("p_name"), F.when(F.col("p_partkey") % 9 != 0, F.col("p_retailprice") * (F.col("p_partkey") % 400))
+    kind, size, brand, major, days, local = F.col("p_type"), F.col("p_size"), F.col("p_brand"), k % 6 == 0, k % 300, k % 4 == 0
+    rules = [
+        ("price only", "excluded", (kind == "PROMO") & (size < 5)), ("direct award", "excluded", brand == "Brand#11"), ("price comparison", "excluded", (kind == "SMALL") & (size < 10)),
+        ("maintenance", "excluded", t.rlike("^old ") & ~major), ("small local band", "excluded", local & (v < 5000)), ("no procurement", "excluded", t.rlike(r"\bplate\b") & (size > 45)),
+        ("rental", "excluded", t.rlike("gizmo") & (days < 20)), ("included", "significant", brand.isin("Brand#55", "Brand#44") & major), ("no content", "excluded", t == ""), ("excluded buyer", "excluded", brand == "Brand#12"),
+        ("excluded words", "excluded", t.rlike("^small (ring|nut)")), ("insurance", "excluded", (kind == "STANDARD") & (size == 1)), ("bare materials", "excluded", t.rlike("bolt") & (v < 20_000)), ("municipal", "excluded", local & t.rlike("cold")),
+        ("short term", "excluded", (kind == "ECONOMY") & days.between(1, 30)), ("value floor", "excluded", v < 20_000), ("small works", "excluded", (v < 40_000) & (size < 10)), ("demoted", "standard", major & (v < 60_000)),
+        ("flagship", "flagship", (v >= 300_000) | (major & (v >= 200_000))), ("significant", "significant", v >= 150_000), ("undisclosed local", "excluded", v.isNull() & local), ("undisclosed major", "significant", v.isNull() & major),
+        ("no industry", "excluded", ~t.rlike("widget|gear|bolt|ring|plate|valve|gizmo|screw|nut")),
+    ]
+    reason = first_match([(n, c) for n, _, c in rules], "standard")
+    tiers = F.create_map(*[F.lit(x) for n, tier, _ in [*rules, ("standard", "standard", None)] for x in (n, tier)])
+    return table(spark, d, "part").select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("n")).select("reason", F.element_at(tiers, F.col("reason")).alias("tier"), "n")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'excluded' WHEN 1 THEN 'roads' WHEN 2 THEN 'water' WHEN 3 THEN 'small works' ELSE 'none' END AS rule, p_partkey % 3 = 0 AS renewable, CASE p_partkey % 4 WHEN 0 THEN 'awarded' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'open' ELSE 'unknown' END AS status, CASE p_partkey % 2 WHEN 0 THEN 'works' ELSE 'goods' END AS scope FROM part""")
+def source_wordings(spark, d):
+    """Rules over accented Portuguese wording, renewable energy, and what sources call their states and scopes."""
+    from kelpie.functions.wordings import PORTUGUESE, SCOPES, STATES, renewable, worded
+
+    k = F.col("p_partkey")
+
+    def pick(by, values):
+        out = F.lit(None).cast("string")
+        for i, v in enumerate(values):
+            out = F.when(by == i, v).otherwise(out)
+        return out
+
+    text = pick(k % 5, ["Locação de veículos", "Pavimentação da RODOVIA", "Estação de tratamento de água", "Reforma da praça", "Aquisição de outros"])
+    energy = F.when(k % 3 == 0, "Planta FOTOVOLTAICA de 20 MW").otherwise("Planta de gas")
+    return table(spark, d, "part").select(
+        "p_partkey", worded(text, PORTUGUESE, "none").alias("rule"), renewable(energy).alias("renewable"),
+        worded(pick(k % 4, ["ADJUDICADO ", "Cancelada", "Em andamento / ABERTO", "?"]), STATES, "unknown").alias("status"), worded(F.when(k % 2 == 0, "Ejecución de obra").otherwise("Adquisición de bienes"), SCOPES, "other").alias("scope"),
+    )

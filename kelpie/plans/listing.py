@@ -31,7 +31,8 @@ FROM {_LISTED} WHERE o_orderstatus IN ('O', 'P') AND o_totalprice >= 1000) ORDER
 def list_page(spark, d):
     """The first page of open notices, countries in rotation; a page is the feature, so the limit stays."""
     chosen = _listed(spark, d).filter(ops.facets({"o_orderstatus": ["O", "P"], "o_orderpriority": []}) & (F.col("o_totalprice") >= 1000))
-    turns = ops.interleaved(chosen, "n_name", [F.desc("o_totalprice"), F.asc("o_orderkey")])
+    # no more than a page of any country can be shown, and Spark keeps no more of each before it is ranked
+    turns = ops.interleaved(chosen, "n_name", [F.desc("o_totalprice"), F.asc("o_orderkey")]).filter(F.col("turn") <= PAGE_ROWS)
     return turns.orderBy("turn", "n_name").limit(PAGE_ROWS).select("o_orderkey", "n_name", "o_totalprice", "turn")
 
 
