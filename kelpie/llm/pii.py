@@ -105,7 +105,11 @@ def _kind_of(m: Column) -> Column:
 
 
 def candidates(docs: DataFrame, *, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Append pii_text (null: empty), pii_base (spans that pass), pii_failed and pii_extra to each row."""
+    """Append pii_text (null: empty), pii_base (spans that pass), pii_failed and pii_extra to each row.
+
+    Null and empty texts have no spans; rows that repeat are each returned; an empty table gives no rows. Input columns of
+    these names, and pii_email, pii_ip, pii_card, pii_phone and pii_any, are replaced or left out.
+    """
     added = ["pii_text", "pii_base", "pii_failed", "pii_extra"]
     kept = [F.col(f"`{c}`") for c in (docs.columns if carry is None else carry) if c not in added]
     t = F.col("pii_text")
@@ -228,7 +232,11 @@ def train(counts: list[tuple], rounds: int = 150, rate: float = 0.5) -> SpanMode
 
 
 def fit_model(found: DataFrame) -> SpanModel:
-    """Count vote and shape patterns over all candidates of all rows, then estimate and train on at most MOST_PATTERNS rows."""
+    """Count vote and shape patterns over all candidates of all rows, then estimate and train on at most MOST_PATTERNS rows.
+
+    Rows that repeat count each; rows without candidates, null texts among them, count for nothing; without any candidate the
+    model has no weights and accepts every candidate of a kind beyond the base.
+    """
 
     def told(spans: str, failed: bool) -> Column:
         return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), F.lit(failed).alias("failed")))
@@ -244,7 +252,11 @@ def _written(spans: Column) -> Column:
 
 
 def apply_model(found: DataFrame, model: SpanModel) -> DataFrame:
-    """Append pii_spans: base spans, then accepted others by kind and start; each kind, start, end, m."""
+    """Append pii_spans: base spans, then accepted others by kind and start; each kind, start, end, m.
+
+    Rows without candidates have none; equal texts have equal spans; an empty table gives no rows; an input column of this
+    name is replaced.
+    """
     t = F.col("pii_text")
     good = F.filter("pii_extra", lambda s: model.logit(s["kind"], _features(t, s, F.lit(False))) >= 0)
     order = F.array(*[F.lit(k) for k in EXTRA_KINDS])
