@@ -47,10 +47,13 @@ def stream_sessions(spark, d):
     """A session is written once, when the watermark has passed its end; a last event far ahead, which has no part in the
     result, closes those that are still open."""
     folder = _folder(spark)
-    log = table(spark, d, "events").select("user_id", "ts")
-    end = log.agg(F.lit(None).cast("bigint").alias("user_id"), (F.max("ts") + F.expr("interval 30 days")).alias("ts")).filter("ts is not null")
-    log.write.parquet(f"{folder}/log/part=0")
-    ops.run_once(ops.session_counts(ops.event_stream(spark, f"{folder}/log")), folder, "append")
-    end.write.parquet(f"{folder}/log/part=1")
-    batches = ops.run_once(ops.session_counts(ops.event_stream(spark, f"{folder}/log")), folder, "append")
-    return batches.filter("user_id is not null").select("user_id", "n")
+    end = table(spark, d, "events").agg(F.lit(None).cast("bigint").alias("user_id"), (F.max("ts") + F.expr("interval 30 days")).alias("ts")).filter("ts is not null")
+    end.filter("false").write.parquet(f"{folder}/end")
+
+    def sessions():
+        seen = [x.select("user_id", "ts") for x in (_log(spark, d), ops.event_stream(spark, f"{folder}/end"))]
+        return ops.session_counts(seen[0].union(seen[1]))
+
+    ops.run_once(sessions(), folder, "append")
+    end.write.mode("append").parquet(f"{folder}/end")
+    return ops.run_once(sessions(), folder, "append").filter("user_id is not null").select("user_id", "n")

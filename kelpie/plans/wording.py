@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import dates, free_text, money, sources
 from kelpie.functions.text import fold_accents, html_text, locale_number
+from kelpie.functions.unicode import without_marks
 from kelpie.plans import notices as base
 from kelpie.session import table
 
@@ -192,6 +193,11 @@ def folded_urls(spark, d):
     return table(spark, d, "pages").select("page_id", fold_accents(F.col("url")).alias("folded"))
 
 
+@query("SELECT conv_id, turn, strip_accents(text) AS bare FROM conversations")
+def marks_removed(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", without_marks("text").alias("bare"))
+
+
 def _m(name: str) -> str:
     return f"regexp_matches(lower(p_name || ' ' || p_type), '{sources.WORDS[name]}')"
 
