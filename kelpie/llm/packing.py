@@ -34,18 +34,27 @@ def idf(df: np.ndarray, n: int) -> np.ndarray:
     return np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
 
 
-def bm25(weight: np.ndarray, tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
-    """What a term of `weight` (idf) that occurs tf times adds to the score of a document of `length`."""
-    return weight * tf * np.float32(K1 + 1) / (tf + (K1 * (1 - B + B * length / max(mean, 1e-9))).astype(np.float32))
+def length_norms(docs: list[np.ndarray], mean: float) -> np.ndarray:
+    """What a document's length adds below the line of BM25."""
+    return (K1 * (1 - B + B * np.array([len(d) for d in docs], np.float64) / max(mean, 1e-9))).astype(np.float32)
+
+
+def bm25(weight: np.ndarray, tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """What a term of `weight` (idf) that occurs tf times adds to the score of a document with that norm."""
+    return weight * tf * np.float32(K1 + 1) / (tf + norm)
 
 
 def term_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, occurrences), ordered by document and term."""
     lengths = np.array([len(d) for d in docs], np.int64)
-    ids = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
-    key = np.sort(np.repeat(np.arange(len(docs)), lengths) << 32 | ids)
+    ids = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+    bits, kind = (16, np.uint32) if len(docs) <= 1 << 16 and (not len(ids) or ids.max() < 1 << 16) else (32, np.uint64)
+    key = np.repeat(np.arange(len(docs), dtype=kind) << kind(bits), lengths)
+    key |= ids.astype(kind)
+    key.sort()
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[first] >> 32, key[first] & 0xFFFFFFFF, np.diff(np.append(first, len(key))).astype(np.float32)
+    found = key[first]
+    return (found >> kind(bits)).astype(np.int64), (found & kind((1 << bits) - 1)).astype(np.int64), np.diff(np.append(first, len(key))).astype(np.float32)
 
 
 class Bm25Index:
@@ -54,7 +63,7 @@ class Bm25Index:
     def __init__(self, docs: list[np.ndarray], weight: np.ndarray, mean: float):
         self.n = len(docs)
         doc, term, tf = term_counts(docs)
-        w = bm25(weight[term], tf, np.array([len(d) for d in docs], np.float64)[doc] if len(doc) else doc, mean)
+        w = bm25(weight.take(term), tf, length_norms(docs, mean).take(doc))
         self.doc_start = np.searchsorted(doc, np.arange(self.n + 1))
         present = np.unique(term)
         self.terms = np.searchsorted(present, term)  # of each document in turn, numbered inside the shard
@@ -140,9 +149,11 @@ def strongest(docs: list[np.ndarray], weight: np.ndarray, mean: float) -> np.nda
     doc, term, tf = term_counts(docs)
     if not len(doc):
         return np.zeros(0, np.int64)
-    w = bm25(weight[term], tf, np.array([len(d) for d in docs], np.float64)[doc], mean)
-    order = np.lexsort((term, -w, doc))
-    return term[order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])]]
+    w = bm25(weight.take(term), tf, length_norms(docs, mean).take(doc))
+    first = np.searchsorted(doc, np.arange(len(docs)))
+    top = np.maximum.reduceat(w, first)
+    best = np.flatnonzero(w == top.take(doc))  # terms stand in order, so the first of equals has the lowest id
+    return term[best[np.concatenate([[True], doc[best][1:] != doc[best][:-1]])]]
 
 
 def _terms(path: str, corpus):
