@@ -75,7 +75,7 @@ class Bm25Index:
         """BM25 of every document for all distinct terms of the seed."""
         mine = self.terms[self.doc_start[seed] : self.doc_start[seed + 1]]
         at = ranges(self.start[mine], self.start[mine + 1] - self.start[mine])
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        return np.bincount(self.doc.take(at), self.weight.take(at), self.n)
 
 
 def fill_windows(docs: list[np.ndarray], weight: np.ndarray, mean: float, window: int = WINDOW):
@@ -107,9 +107,9 @@ def fill_windows(docs: list[np.ndarray], weight: np.ndarray, mean: float, window
             if offset == ends[sequence]:
                 sequence, offset, opened = sequence + 1, 0, True
         if opened and offset:  # this document seeds the open window
-            score = np.where(unused, index.scores(doc), 0)
-            found = np.flatnonzero(score > 0)
-            queue = found[np.lexsort((-found, score[found]))].tolist()  # best last; ties to the earlier document
+            score = np.where(unused, index.scores(doc), 0)[::-1]
+            order = np.argsort(score, kind="stable")  # best last; ties to the earlier document
+            queue = (len(docs) - 1 - order[np.searchsorted(score[order], 0, "right") :]).tolist()
     return pieces, sequence + (offset > 0)
 
 
