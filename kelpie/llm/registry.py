@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kelpie.llm import audio, decontaminate, language_model, merkle, ngram_join, packing, pii, quality, repeats, sharding, token_files, toxicity
+from kelpie.llm import alignment, audio, decontaminate, language_model, merkle, ngram_join, packing, pii, quality, repeats, sharding, token_files, toxicity
 
-_MODULES = [audio, decontaminate, language_model, merkle, ngram_join, packing, pii, quality, repeats, sharding, token_files, toxicity]
+_MODULES = [alignment, audio, decontaminate, language_model, merkle, ngram_join, packing, pii, quality, repeats, sharding, token_files, toxicity]
 
 
 def queries() -> dict:
