@@ -22,7 +22,6 @@ from kelpie.llm.common import crc_mod, discard, materialize, table
 ARITY = 16
 #: Levels that one stream of appends covers.
 LEVELS = 3
-BLOCK = ARITY**LEVELS
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 _HEX = 64
 
@@ -31,10 +30,10 @@ def digest(text: str) -> str:
     return hashlib.sha256(text.encode("ascii")).hexdigest()
 
 
-def levels_of(n: int) -> int:
+def levels_of(n: int, most: int = LEVELS) -> int:
     """Levels of a tree of n nodes, at most those of a block."""
     out = 0
-    while n > 1 and out < LEVELS:
+    while n > 1 and out < most:
         n, out = -(-n // ARITY), out + 1
     return out
 
@@ -143,9 +142,13 @@ def _positions(nodes: DataFrame, order: list[Column], name: str) -> DataFrame:
     return ranged.join(counts, ["tree", "range"]).withColumn("pos", F.col("at") + F.col("shift")).drop("at", "range", "shift")
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
+def _block(levels: int) -> Column:
+    return F.shiftright("pos", 4 * levels)
+
+
+def _blocks(nodes: DataFrame, levels: int) -> DataFrame:
     """nodes dealt so that each aligned block of a tree lies in one task, in order."""
-    return nodes.withColumn("block", F.floor(F.col("pos") / BLOCK)).repartition("tree", "block").sortWithinPartitions("tree", "block", "pos")
+    return nodes.withColumn("block", _block(levels)).repartition("tree", "block").sortWithinPartitions("tree", "block", "pos")
 
 
 def _streams(batches, columns: list[str]):
@@ -162,20 +165,25 @@ def _streams(batches, columns: list[str]):
         yield *key, rows
 
 
-def _roots(batches):
+def _roots(levels: int):
     """One row per block: its root, a node of the next round."""
-    out: list[tuple] = []
-    for tree, block, rows in _streams(batches, ["tree", "block", "pos", "node", "n"]):
-        n = rows[0][4]
-        stream = Appender(levels_of(n))
-        for row in rows:
-            stream.append(row[3])
-        out.append((tree, block, stream.finish(), -(-n // BLOCK)))
-        if len(out) >= BLOCK:
-            yield _batch(out, ["tree", "pos", "node", "n"])
-            out = []
-    if out:
-        yield _batch(out, ["tree", "pos", "node", "n"])
+    names = ["tree", "pos", "node", "n"]
+
+    def run(batches):
+        out: list[tuple] = []
+        for tree, block, rows in _streams(batches, ["tree", "block", "pos", "node", "n"]):
+            n = rows[0][4]
+            stream = Appender(levels_of(n, levels))
+            for row in rows:
+                stream.append(row[3])
+            out.append((tree, block, stream.finish(), -(-n // ARITY**levels)))
+            if len(out) >= 4096:
+                yield _batch(out, names)
+                out = []
+        if out:
+            yield _batch(out, names)
+
+    return run
 
 
 def _batch(rows: list[tuple], names: list[str], types: dict | None = None) -> pa.RecordBatch:
@@ -183,12 +191,12 @@ def _batch(rows: list[tuple], names: list[str], types: dict | None = None) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(k, pa.string())) for k, c in zip(names, zip(*rows, strict=True), strict=True)], names)
 
 
-def _climb(nodes: DataFrame, name: str) -> tuple[list[DataFrame], list[DataFrame]]:
+def _climb(nodes: DataFrame, levels: int, name: str) -> tuple[list[DataFrame], list[DataFrame]]:
     """The rounds of nodes of trees that still have several, and after each round the roots of the trees that are done."""
     rounds, tops = [nodes], []
     while True:
-        slim = _blocks(rounds[-1].select("tree", "pos", "node", "n"))
-        up = materialize(slim.mapInArrow(_roots, "tree string, pos long, node string, n long"), f"{name}-roots")
+        slim = _blocks(rounds[-1].select("tree", "pos", "node", "n"), levels)
+        up = materialize(slim.mapInArrow(_roots(levels), "tree string, pos long, node string, n long"), f"{name}-roots")
         tops.append(up.filter("n = 1").select("tree", "node"))
         more = up.filter("n > 1")
         if more.isEmpty():
@@ -196,25 +204,28 @@ def _climb(nodes: DataFrame, name: str) -> tuple[list[DataFrame], list[DataFrame
         rounds.append(more)
 
 
-def _inner(batches):
+def _inner(levels: int):
     """The witness of every node: within its block, then that of the block's root, which the block's first row carries."""
-    names = ["tree", "block", "pos", "node", "n", "witness"]
-    for tree, _, rows in _streams(batches, names):
-        above, stream = rows[0][5], Appender(levels_of(rows[1][4]))
-        witnesses = [stream.append(row[3]) for row in rows[1:]]
-        stream.finish()
-        for at in range(0, len(witnesses), 256):
-            yield _batch([(tree, row[2], resolve(w) + above) for row, w in zip(rows[1 + at : 257 + at], witnesses[at : at + 256], strict=True)], ["tree", "block", "witness"])
+
+    def run(batches):
+        for tree, _, rows in _streams(batches, ["tree", "block", "pos", "node", "n", "witness"]):
+            above, stream = rows[0][5], Appender(levels_of(rows[1][4], levels))
+            witnesses = [stream.append(row[3]) for row in rows[1:]]
+            stream.finish()
+            for at in range(0, len(witnesses), 256):
+                yield _batch([(tree, row[2], resolve(w) + above) for row, w in zip(rows[1 + at : 257 + at], witnesses[at : at + 256], strict=True)], ["tree", "block", "witness"])
+
+    return run
 
 
-def _with_uppers(nodes: DataFrame, uppers: DataFrame) -> DataFrame:
+def _with_uppers(nodes: DataFrame, uppers: DataFrame, levels: int) -> DataFrame:
     """nodes in blocks, each block led by a row (pos -1) with the witness of its root."""
     lead = uppers.withColumn("pos", F.lit(-1).cast("long"))
-    both = nodes.withColumn("block", F.floor(F.col("pos") / BLOCK)).unionByName(lead, allowMissingColumns=True)
+    both = nodes.withColumn("block", _block(levels)).unionByName(lead, allowMissingColumns=True)
     return both.repartition("tree", "block").sortWithinPartitions("tree", "block", "pos")
 
 
-def _descend(rounds: list[DataFrame], tops: list[DataFrame], witnesses: DataFrame, name: str) -> DataFrame:
+def _descend(rounds: list[DataFrame], tops: list[DataFrame], witnesses: DataFrame, levels: int, name: str) -> DataFrame:
     """(tree, block, witness) of the blocks of the first round, where witnesses has (tree, witness) of each tree's root."""
     down = None
     for k in range(len(rounds) - 1, -1, -1):
@@ -222,19 +233,19 @@ def _descend(rounds: list[DataFrame], tops: list[DataFrame], witnesses: DataFram
         uppers = uppers if down is None else uppers.unionByName(down)
         if k == 0:
             return uppers
-        nodes = _with_uppers(rounds[k].select("tree", "pos", "node", "n"), uppers)
-        down = materialize(nodes.mapInArrow(_inner, "tree string, block long, witness array<string>"), f"{name}-witnesses")
+        nodes = _with_uppers(rounds[k].select("tree", "pos", "node", "n"), uppers, levels)
+        down = materialize(nodes.mapInArrow(_inner(levels), "tree string, block long, witness array<string>"), f"{name}-witnesses")
     raise ValueError("no rounds")
 
 
-def _proofs(root: str, full: bool):
+def _proofs(root: str, full: bool, levels: int):
     """Per leaf: leaf, subroot, root, proof_sha256, folded_root, verified; and the witness itself if full."""
     columns = ["tree", "block", "pos", "node", "n", "witness", "doc_id", "seen"]
     names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"] + ["witness"] * full
 
     def run(batches):
         for _, _, rows in _streams(batches, columns):
-            above, subroot, stream = rows[0][5], rows[0][3], Appender(levels_of(rows[1][4]))
+            above, subroot, stream = rows[0][5], rows[0][3], Appender(levels_of(rows[1][4], levels))
             witnesses = [stream.append(row[3]) for row in rows[1:]]
             stream.finish()
             for at in range(0, len(witnesses), 512):
@@ -248,7 +259,7 @@ def _proofs(root: str, full: bool):
     return run
 
 
-def manifest(docs: DataFrame, *, seen: Column | None = None, full: bool = False, id_col: str = "doc_id", group_col: str = "source", columns: tuple[str, ...] = COLUMNS, text_col: str = "text") -> DataFrame:
+def manifest(docs: DataFrame, *, seen: Column | None = None, full: bool = False, id_col: str = "doc_id", group_col: str = "source", columns: tuple[str, ...] = COLUMNS, text_col: str = "text", levels: int = LEVELS) -> DataFrame:
     """One row per document: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified; witness too if full.
 
     A leaf is the SHA-256 of `columns` in order. In each group leaves ascend by id (null first), rows of one id by leaf;
@@ -257,6 +268,7 @@ def manifest(docs: DataFrame, *, seen: Column | None = None, full: bool = False,
     gives and the stored siblings are folded to folded_root, which verifies if it is the root. A null text stays null. Rows
     that repeat are leaves each on its own; other columns are ignored whatever their names; an empty table gives no rows.
     With full, witness lists the joined siblings to the left and right, level by level (fold() folds them).
+    levels is how many levels one stream of appends covers; it changes no result.
     """
     values = {c: F.col(f"`{c}`") for c in columns}
     slim = docs.select(
@@ -267,22 +279,22 @@ def manifest(docs: DataFrame, *, seen: Column | None = None, full: bool = False,
     )
     leaves = materialize(slim.withColumn("seen", F.nullif("seen", "node")), "leaves")
     placed = _positions(leaves, [F.asc_nulls_first("doc_id"), F.col("node")], "leaves")
-    rounds, tops = _climb(placed, "leaf")
+    rounds, tops = _climb(placed, levels, "leaf")
     subroots = materialize(reduce(DataFrame.unionByName, tops), "subroots")
     discard(leaves)
 
     above = _positions(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "node"), [F.col("name")], "subroots")
-    above_rounds, above_tops = _climb(above, "subroot")
+    above_rounds, above_tops = _climb(above, levels, "subroot")
     top = reduce(DataFrame.unionByName, above_tops).first()
     root = top["node"] if top else ""
     none = docs.sparkSession.createDataFrame([("", [])], "tree string, witness array<string>")
-    inner = _with_uppers(above.select("tree", "pos", "node", "n"), _descend(above_rounds, above_tops, none, "subroot"))
-    by_place = inner.mapInArrow(_inner, "tree string, block long, witness array<string>").select(F.col("block").alias("pos"), "witness")
+    inner = _with_uppers(above.select("tree", "pos", "node", "n"), _descend(above_rounds, above_tops, none, levels, "subroot"), levels)
+    by_place = inner.mapInArrow(_inner(levels), "tree string, block long, witness array<string>").select(F.col("block").alias("pos"), "witness")
     witnesses = materialize(above.join(by_place, "pos").select(F.col("name").alias("tree"), "witness"), "subroot-witnesses")
 
-    uppers = _descend(rounds, tops, witnesses, "leaf").join(subroots, "tree")
+    uppers = _descend(rounds, tops, witnesses, levels, "leaf").join(subroots, "tree")
     ddl = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
-    return _with_uppers(placed, uppers).mapInArrow(_proofs(root, full), ddl + ", witness array<string>" * full)
+    return _with_uppers(placed, uppers, levels).mapInArrow(_proofs(root, full, levels), ddl + ", witness array<string>" * full)
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

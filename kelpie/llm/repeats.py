@@ -46,12 +46,12 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(down[:n], up[width - 1 : width - 1 + n])
 
 
-def fragments(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def fragments(raw: np.ndarray, offsets: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, ...]:
     """(text, place, windows, key, again) of the fragments of some texts in one buffer; place is in the buffer.
 
     again: the string of the key stands in the fragment more than once, so that a window may repeat inside it.
     """
-    k = min(K, length)
+    k = min(k, length)
     width = length - k + 1
     each = np.maximum(np.diff(offsets) - length + 1, 0)
     window = ranges(offsets[:-1], each)
@@ -72,17 +72,17 @@ def fragments(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return np.searchsorted(offsets, place, "right") - 1, place, windows, key, hits > 1
 
 
-def _cut(length: int):
+def _cut(length: int, k: int, most: int):
     """Fragments of the texts of Arrow batches (row, text)."""
 
     def pieces(raw, off):
         """(first text, offsets) of pieces of bounded size; a long text in several that overlap."""
-        for i, j in slices(off, PIECE):
-            if off[j] - off[i] <= 2 * PIECE:
+        for i, j in slices(off, most):
+            if off[j] - off[i] <= 2 * most:
                 yield i, off[i : j + 1], 0
             else:
-                for a in range(int(off[i]), int(off[j]) - length + 1, PIECE):
-                    yield i, np.array([a, min(a + PIECE + length - 1, int(off[j]))]), a - int(off[i])
+                for a in range(int(off[i]), int(off[j]) - length + 1, most):
+                    yield i, np.array([a, min(a + most + length - 1, int(off[j]))]), a - int(off[i])
 
     def run(batches):
         for batch in batches:
@@ -91,7 +91,7 @@ def _cut(length: int):
             for i, o, base in pieces(raw, off):
                 part = raw[o[0] : o[-1]]
                 local = o - o[0]
-                text, place, windows, key, again = fragments(part, local, length)
+                text, place, windows, key, again = fragments(part, local, length, k)
                 if not len(place):
                     continue
                 view = memoryview(np.ascontiguousarray(part))
@@ -220,9 +220,12 @@ def _keep(batches):
             )
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(row, start, end) of byte spans of windows that occur twice in rows (row, text); row is unique. Spans may overlap."""
-    cut = materialize(rows.filter(F.octet_length("text") >= length).mapInArrow(_cut(length), _FRAGMENTS), "fragments")
+def repeated_spans(rows: DataFrame, length: int = LENGTH, *, k: int = K, piece: int = PIECE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(row, start, end) of byte spans of windows that occur twice in rows (row, text); row is unique. Spans may overlap.
+
+    k, piece and shard_bytes are the bytes of a key's strings, of texts cut at once and of a shard; they change no result.
+    """
+    cut = materialize(rows.filter(F.octet_length("text") >= length).mapInArrow(_cut(length, k, piece), _FRAGMENTS), "fragments")
     distinct = cut.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("row", "start")).alias("first"), F.max("windows").alias("windows"), F.max("again").alias("again"))
     distinct = materialize(distinct, "distinct-fragments")
     covered = cut.join(distinct.filter("n > 1").select("key", "digest"), ["key", "digest"])
@@ -230,7 +233,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = [covered.select("row", F.col("start").cast("long").alias("start"), end.alias("end"))]
 
     keys = distinct.groupBy("key").agg(F.count("*").alias("fragments"), F.sum((F.col("n") == 1).cast("int")).alias("open"), F.max("again").alias("again"), F.sum(F.col("windows").cast("long") + F.lit(length)).alias("bytes"))
-    keys = keys.filter("open > 0 and (fragments > 1 or again)").select("key", (F.col("bytes") > SHARD_BYTES).alias("large"))
+    keys = keys.filter("open > 0 and (fragments > 1 or again)").select("key", (F.col("bytes") > shard_bytes).alias("large"))
     chosen = distinct.join(keys, "key").select("key", "large", "first.row", "first.start", "windows", (F.col("n") > 1).alias("known"))
     chosen = materialize(chosen, "chosen-fragments")
     schema = "key long, row long, start int, windows int, known boolean, bytes binary"
@@ -241,7 +244,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         by_text = of.groupBy("row").agg(F.collect_list(F.struct("key", "start", "windows", "known")).alias("wanted"))
         found = rows.join(by_text, "row").select("row", "text", "wanted").mapInArrow(_fetch(length), schema)
         if not large:
-            spans.append(found.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(length, SHARD_BYTES), "row long, start long, end long"))
+            spans.append(found.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(length, shard_bytes), "row long, start long, end long"))
             continue
         each = materialize(found.mapInArrow(_windows(length), "digest binary, row long, start long"), "windows")
         twice = each.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
@@ -253,17 +256,18 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans (maximal removed runs), kept (the remaining bytes).
 
     A byte goes if it lies in a string of `length` bytes that starts anywhere else too, in the same document or another;
     strings are judged on the whole input, and no string spans two documents. Texts are UTF-8 bytes; a null text is empty.
     Rows that repeat, or share an id or have none, are documents each on its own, so copies of `length` bytes or more lose
-    all bytes. Other columns are ignored whatever their names; an empty table gives no rows.
+    all bytes. Other columns are ignored whatever their names; an empty table gives no rows. limits are those of
+    repeated_spans.
     """
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = materialize(slim.withColumn("row", F.monotonically_increasing_id()), "repeat-texts")
-    spans = repeated_spans(rows.select("row", "text"), length)
+    spans = repeated_spans(rows.select("row", "text"), length, **limits)
     by_row = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = rows.join(by_row, "row", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: bigint, end: bigint>>, kept binary")

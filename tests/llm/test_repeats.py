@@ -39,17 +39,15 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize(("shard", "piece"), [(2 << 20, 1 << 20), (300, 128), (0, 1 << 20)])
-def test_equal_to_every_window(spark, monkeypatch, shard, piece):
+def test_equal_to_every_window(spark, shard, piece):
     """With whole shards, with tiny shards and pieces, and with every key on the way round."""
     from pyspark.sql import functions as F
 
     from kelpie.llm import repeats
 
-    for name, value in (("SHARD_BYTES", shard), ("PIECE", piece), ("K", 12)):
-        monkeypatch.setattr(repeats, name, value)
     rows = corpus(3)
     frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, row int, key string").repartition(4)
-    out = repeats.remove_repeats(frame, length=40)
+    out = repeats.remove_repeats(frame, length=40, k=12, shard_bytes=shard, piece=piece)
     got = out.select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), F.sha2("kept", 256).alias("kept")).collect()
     key = lambda x: tuple(map(str, x))
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows, 40), key=key)
