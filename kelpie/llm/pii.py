@@ -66,21 +66,87 @@ CONTEXT = {
 AGAINST = r"(?i)(?:version|isbn|example of|chapter|figure|serial|order no)"
 CONTEXT_CHARS = 40
 VOTES = ("v_regex", "v_check", "v_gazetteer", "v_context", "v_border")
-SPAN = "array<struct<start:int,end:int,m:string>>"
+FOUND = "array<struct<kind:string,start:int,end:int,m:string,left:string,right:string>>"
+#: A text is also held in pieces of so many code points, so that a place in it is reached without reading from its start.
+PIECE_BITS = 8
+PIECE = 1 << PIECE_BITS
+#: Places that one running value is kept for.
+RUN_BITS = 7
 
 
-def _located(text: Column, pattern: str, gate: Column) -> Column:
-    """Matches with their places in code points: the pieces between matches give the starts."""
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+def _before(df: DataFrame, values: str, out: str, zero: Column, op) -> DataFrame:
+    """df with `out`: for each place of the array column `values`, op over all values before it, zero at the first.
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["p"])
-        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("m")))
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+    A fold copies what it has so far at every step, so no list grows along a text: a value for each run of places, running
+    values over the runs, and inside a run the few places before. Columns named more than once are computed once.
+    """
+    v, n, sums, runs = F.col(values), F.size(values), f"{out}_sums", f"{out}_runs"
+
+    def over(first, last, start):
+        return F.aggregate(F.sequence(first, last), start, lambda acc, i: op(acc, F.get(v, i)))
+
+    each = F.transform(F.sequence(F.lit(0), F.shiftright(n - 1, RUN_BITS)), lambda r: over(F.shiftleft(r, RUN_BITS), F.least(F.shiftleft(r + 1, RUN_BITS), n) - 1, zero))
+    df = df.withColumn(sums, F.when(n > 0, each).otherwise(F.array().cast("array<int>")))
+    start = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("all"))
+    running = F.aggregate(sums, start, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+    df = df.withColumn(runs, F.when(F.size(sums) > 0, running).otherwise(F.array().cast("array<int>")))
+
+    def at(i):
+        first, run = F.shiftleft(F.shiftright(i, RUN_BITS), RUN_BITS), F.get(F.col(runs), F.shiftright(i, RUN_BITS))
+        return F.when(i == first, run).otherwise(over(first, F.greatest(i - 1, first), run))
+
+    return df.withColumn(out, F.when((n > 0) & (F.size(runs) > 0), F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<int>"))).drop(sums, runs)
+
+
+def _added(acc, x):
+    return acc + x
+
+
+def _located(df: DataFrame, out: str, pattern: str, gate: Column) -> DataFrame:
+    """df with `out`: the matches of a pattern in pii_text with their places in code points. The pieces between matches give
+    the starts."""
+    text, m, p, size, before = F.col("pii_text"), f"{out}_m", f"{out}_p", f"{out}_size", f"{out}_before"
+    df = df.withColumn(m, F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn(p, F.when(F.size(m) > 0, F.transform(F.split(text, pattern, -1), F.length)).otherwise(F.array().cast("array<int>")))
+    df = _before(df.withColumn(size, F.zip_with(m, p, lambda x, gap: gap + F.coalesce(F.length(x), F.lit(0)))), size, before, F.lit(0), _added)
+    found = F.filter(F.arrays_zip(F.col(m).alias("m"), F.col(p).alias("gap"), F.col(before).alias("before")), lambda x: x["m"].isNotNull())
+    spans = F.transform(found, lambda x: F.struct((x["before"] + x["gap"]).alias("start"), (x["before"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("m")))
+    return df.withColumn(out, spans).drop(m, p, size, before)
+
+
+def _free(df: DataFrame, out: str, spans: str, base: str) -> DataFrame:
+    """df with `out`: the spans that overlap no base span. In order of their starts, those do that an earlier base reaches or
+    that reach the next base."""
+    both, reach, next_ = f"{out}_both", f"{out}_reach", f"{out}_next"
 
-    return F.when(gate, F.aggregate(found, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    def of(spans_: str, free: int) -> Column:
+        return F.transform(spans_, lambda s: F.struct(s["start"].alias("start"), F.lit(free).alias("free"), s["end"].alias("end"), s["m"].alias("m")))
+
+    needed = (F.size(spans) > 0) & (F.size(base) > 0)
+    df = df.withColumn(both, F.when(needed, F.array_sort(F.concat(of(base, 0), of(spans, 1)))))
+    df = df.withColumn(f"{reach}_of", F.transform(both, lambda x: F.when(x["free"] == 0, x["end"]).otherwise(0)))
+    df = _before(df, f"{reach}_of", reach, F.lit(0), F.greatest)
+    df = df.withColumn(f"{next_}_of", F.transform(F.reverse(both), lambda x: F.when(x["free"] == 0, x["start"]).otherwise(2**31 - 1)))
+    df = _before(df, f"{next_}_of", next_, F.lit(2**31 - 1), F.least)
+    all_ = F.arrays_zip(F.col(both).alias("x"), F.col(reach).alias("reach"), F.reverse(next_).alias("next"))
+    kept = F.filter(all_, lambda y: (y["x"]["free"] == 1) & (y["reach"] <= y["x"]["start"]) & (y["next"] >= y["x"]["end"]))
+    kept = F.transform(kept, lambda y: F.struct(y["x"]["start"].alias("start"), y["x"]["end"].alias("end"), y["x"]["m"].alias("m")))
+    return df.withColumn(out, F.when(needed, kept).otherwise(F.col(spans))).drop(both, reach, next_, f"{reach}_of", f"{next_}_of")
+
+
+def _pieces(text: Column, needed: Column) -> Column:
+    return F.when(needed, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def _between(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from start to end, from its pieces."""
+
+    def part(c):
+        first = F.greatest(start - F.shiftleft(c, PIECE_BITS), F.lit(0))
+        return F.substring(F.get(pieces, c), first + 1, F.least(end - F.shiftleft(c, PIECE_BITS), F.lit(PIECE)) - first)
+
+    inside = F.transform(F.sequence(F.shiftright(start, PIECE_BITS), F.shiftright(end - 1, PIECE_BITS)), part)
+    return F.when(end > start, F.array_join(inside, "")).otherwise("")
 
 
 def _digits(m: Column) -> Column:
@@ -105,29 +171,40 @@ def _kind_of(m: Column) -> Column:
 
 
 def candidates(docs: DataFrame, *, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Append pii_text (null: empty), pii_base (spans that pass), pii_failed and pii_extra to each row.
+    """Append pii_text (null: empty), pii_pieces, pii_base (spans that pass), pii_failed and pii_extra to each row. A span has
+    its kind, place and text, and what stands to its left and right. The work grows with the text and its matches.
 
     Null and empty texts have no spans; rows that repeat are each returned; an empty table gives no rows. Input columns of
-    these names, and pii_email, pii_ip, pii_card, pii_phone and pii_any, are replaced or left out.
+    these names, and others that begin with pii_, are replaced or left out.
     """
-    added = ["pii_text", "pii_base", "pii_failed", "pii_extra"]
+    added = ["pii_text", "pii_pieces", "pii_base", "pii_failed", "pii_extra"]
     kept = [F.col(f"`{c}`") for c in (docs.columns if carry is None else carry) if c not in added]
     t = F.col("pii_text")
     gates = {"email": F.contains(t, F.lit("@")), "phone": F.contains(t, F.lit("+"))}
     found = docs.select(*kept, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("pii_text"))
     for kind, pattern in PATTERNS.items():
         gate = t.rlike(pattern) if kind not in gates else gates[kind] & t.rlike(pattern)
-        found = found.withColumn(f"pii_{kind}", _located(t, pattern, gate))
-    found = found.withColumn("pii_any", _located(t, ANY_EXTRA, t.rlike(ANY_EXTRA)))
+        found = _located(found, f"pii_{kind}", pattern, gate)
+    found = _located(found, "pii_any", ANY_EXTRA, t.rlike(ANY_EXTRA))
+    some = F.size("pii_any") > 0
+    for kind in BASE_KINDS:
+        some = some | (F.size(f"pii_{kind}") > 0)
+    found = found.withColumn("pii_pieces", _pieces(t, some))
+    pieces = F.col("pii_pieces")
+
+    def told(kind: Column, s: Column) -> Column:
+        left = _between(pieces, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)), s["start"])
+        right = _between(pieces, s["end"], s["end"] + CONTEXT_CHARS)
+        return F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), left.alias("left"), right.alias("right"))
 
     def of(kind: str, keep) -> Column:
-        return F.transform(F.filter(f"pii_{kind}", lambda s: keep(kind, s["m"])), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m")))
+        return F.transform(F.filter(f"pii_{kind}", lambda s: keep(kind, s["m"])), lambda s: told(F.lit(kind), s))
 
     found = found.withColumn("pii_base", F.concat(*[of(k, _passes) for k in BASE_KINDS]))
     found = found.withColumn("pii_failed", F.concat(*[of(k, lambda kind, m: ~_passes(kind, m)) for k in BASE_KINDS]))
-    free = F.filter("pii_any", lambda s: ~F.exists("pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    extra = F.transform(free, lambda s: F.struct(_kind_of(s["m"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m")))
-    found = found.withColumn("pii_extra", F.when(F.size("pii_any") > 0, extra).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,m:string>>")))
+    found = _free(found, "pii_free", "pii_any", "pii_base")
+    extra = F.transform("pii_free", lambda s: told(_kind_of(s["m"]), s))
+    found = found.withColumn("pii_extra", F.when(F.size("pii_free") > 0, extra).otherwise(F.array().cast(FOUND)))
     return found.select(*kept, *added)
 
 
@@ -138,11 +215,9 @@ def _by_kind(kind: Column, patterns: dict[str, str], value: Column) -> Column:
     return out
 
 
-def _features(text: Column, s: Column, failed: Column) -> list[Column]:
+def _features(s: Column, failed: Column) -> list[Column]:
     """Votes and shape of a span: columns with few values each."""
-    kind, m = s["kind"], s["m"]
-    left = F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)))
-    right = F.substring(text, s["end"] + 1, F.lit(CONTEXT_CHARS))
+    kind, m, left, right = s["kind"], s["m"], s["left"], s["right"]
     check = F.when(kind.isin("ip", "card", "phone"), F.when(failed, -1).otherwise(1)).when(kind == "national_id", F.when(m.rlike("-00-|-0000$"), -1).otherwise(1)).otherwise(0)
     border = left.rlike(r"(?:^|[\s(\[<\x22':;,=])$") & right.rlike(r"^(?:$|[\s)\]>\x22'.,;:!?])")
     strict = F.when(failed, -1).when(F.length(m) > 80, -1).when(kind.isin(*BASE_KINDS), 1).otherwise(0)
@@ -239,11 +314,11 @@ def fit_model(found: DataFrame) -> SpanModel:
     """
 
     def told(spans: str, failed: bool) -> Column:
-        return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), F.lit(failed).alias("failed")))
+        return F.transform(spans, lambda s: F.struct(s.alias("span"), F.lit(failed).alias("failed")))
 
-    spans = found.select("pii_text", F.explode(F.concat(told("pii_base", False), told("pii_failed", True), told("pii_extra", False))).alias("s"))
-    s = F.col("s")
-    counted = spans.select(s["kind"].alias("kind"), *_features(F.col("pii_text"), s, s["failed"])).groupBy("kind", *FEATURES).count()
+    spans = found.select(F.explode(F.concat(told("pii_base", False), told("pii_failed", True), told("pii_extra", False))).alias("s"))
+    s, failed = F.col("s.span"), F.col("s.failed")
+    counted = spans.select(s["kind"].alias("kind"), *_features(s, failed)).groupBy("kind", *FEATURES).count()
     return train([(r["kind"], tuple(r[f] for f in FEATURES), r["count"]) for r in counted.collect()])
 
 
@@ -257,12 +332,14 @@ def apply_model(found: DataFrame, model: SpanModel) -> DataFrame:
     Rows without candidates have none; equal texts have equal spans; an empty table gives no rows; an input column of this
     name is replaced.
     """
-    t = F.col("pii_text")
-    good = F.filter("pii_extra", lambda s: model.logit(s["kind"], _features(t, s, F.lit(False))) >= 0)
+    def bare(s: Column) -> Column:
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"))
+
+    good = F.filter("pii_extra", lambda s: model.logit(s["kind"], _features(s, F.lit(False))) >= 0)
     order = F.array(*[F.lit(k) for k in EXTRA_KINDS])
     ranked = F.array_sort(F.transform(good, lambda s: F.struct(F.array_position(order, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["m"].alias("m"))))
-    extra = F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m")))
-    return found.withColumn("pii_spans", F.when(F.size("pii_extra") > 0, F.concat("pii_base", extra)).otherwise(F.col("pii_base")))
+    extra, base = F.transform(ranked, bare), F.transform("pii_base", bare)
+    return found.withColumn("pii_spans", F.when(F.size("pii_extra") > 0, F.concat(base, extra)).otherwise(base))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", model: SpanModel | None = None) -> DataFrame:
@@ -271,17 +348,26 @@ def redact(docs: DataFrame, *, text_col: str = "text", model: SpanModel | None =
     Null texts stay null and empty ones empty. Where spans of two kinds overlap, the earlier one is replaced whole and the
     later one's rest is removed with it. Repeated rows are treated alike. Without candidates the text is unchanged.
     """
-    model = model or fit_model(candidates(docs, text_col=text_col, carry=[]))
-    marked = apply_model(candidates(docs, text_col=text_col), model)
-    t = F.col("pii_text")
+    found = candidates(docs, text_col=text_col)
+    if model is None:  # every text is searched once: what is found is kept for the second step
+        found = materialize(found.drop("pii_text", "pii_pieces"), "pii-found")
+        model = fit_model(found)
+    marked = apply_model(found, model).drop("pii_base", "pii_failed", "pii_extra")
+    marked = marked.withColumn("pii_text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    marked = marked.withColumn("pii_pieces", _pieces(F.col("pii_text"), F.size("pii_spans") > 0))
+    t, pieces = F.col("pii_text"), F.col("pii_pieces")
+    end = F.struct(F.char_length(t).alias("start"), F.char_length(t).alias("end"), F.lit("").alias("kind"))
     by_start = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    marked = marked.withColumn("pii_order", F.when(F.size("pii_spans") > 0, F.concat(by_start, F.array(end))))
+    marked = _before(marked.withColumn("pii_ends", F.transform("pii_order", lambda s: s["end"])), "pii_ends", "pii_at", F.lit(0), F.greatest)
 
-    def step(acc, s):
-        fresh = F.struct(F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"), s["end"].alias("at"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
+    def part(x):
+        sign = F.when(x["s"]["kind"] == "", "").otherwise(F.concat(F.lit("["), F.upper(x["s"]["kind"]), F.lit("]")))
+        return F.when(x["s"]["start"] >= x["at"], F.concat(_between(pieces, x["at"], x["s"]["start"]), sign)).otherwise("")
 
-    clean = F.aggregate(by_start, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return marked.select(*[F.when(F.size("pii_spans") > 0, clean).otherwise(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.array_join(F.transform(F.arrays_zip(F.col("pii_order").alias("s"), F.col("pii_at").alias("at")), part), "")
+    clean = F.when(F.size("pii_spans") > 0, F.when(F.size(pieces) > 0, clean)).otherwise(F.col(f"`{text_col}`"))
+    return marked.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,10 +376,8 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Repeated rows and null ids are each returned; other columns are ignored. An empty table gives no rows.
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    # only rows with candidates need their text again
-    found = candidates(slim, carry=["doc_id"])
-    found = materialize(found.withColumn("pii_text", F.when(F.size("pii_base") + F.size("pii_failed") + F.size("pii_extra") > 0, F.col("pii_text"))), "pii-candidates")
-    marked = apply_model(found, fit_model(found.filter("pii_text is not null")))
+    found = materialize(candidates(slim, carry=["doc_id"]).drop("pii_text", "pii_pieces"), "pii-candidates")
+    marked = apply_model(found, fit_model(found))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
