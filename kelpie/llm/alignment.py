@@ -27,13 +27,15 @@ from kelpie.llm.common import give_back, materialize, quiet_threads, ranges, sli
 from kelpie.llm.tokens import vocabulary_path
 
 A_FILE, A_RANKS, B_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes of a text that go to the second tokenizer at once; a longer one is cut before blanks.
 LONG = 1 << 20
 #: Entries that one step of a product expands.
 STEP = 1 << 18
 #: A pair of ids is one number: the first id's bits above these.
 B_BITS = 15
+#: All bytes of characters below U+0200 are less than this one. Unicode has always classed those characters as it does now.
+PLAIN = 0xC8
 
 
 # --- compressed sparse rows ----------------------------------------------------------------------------------------
@@ -117,11 +119,11 @@ class Tokenizers:
         # characters that Unicode classes otherwise today than long ago go through the vocabulary file's own library
         self.odd = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _odd_ranges()) + "]")
 
-    def a(self, text: str) -> list[int]:
-        text = " " + text
-        if text.isascii() or not self.odd.search(text):
-            return self.fast.encode_ordinary(text)
-        return self.whole.encode(text, add_special_tokens=False).ids
+    def a(self, text: str, data: np.ndarray) -> list[int]:
+        """Ids of a blank and text; data are the bytes of both."""
+        if data.max() < PLAIN or not self.odd.search("".join(set(text))):
+            return self.fast.encode_ordinary(" " + text)
+        return self.whole.encode(" " + text, add_special_tokens=False).ids
 
     def b(self, texts: list[str]) -> list[list[int]]:
         if max(map(len, texts), default=0) <= LONG:
@@ -143,12 +145,15 @@ def _cut(text: str) -> list[str]:
 
 
 def _odd_ranges() -> list[tuple[int, int]]:
-    old, out = unicodedata.ucd_3_2_0, []
-    for k in range(128, 0x110000):
-        if 0xD800 <= k < 0xE000:
-            continue
-        c = chr(k)
-        if (was := old.category(c)[0]) == "C" or was != unicodedata.category(c)[0]:
+    """Characters that were not yet, or are no longer, letters, numbers or blanks as they are today."""
+
+    def kind(category: str) -> str:
+        return category if category in ("Cn", "Co") else category[0] if category[0] in "LNZ" else ""
+
+    out: list[tuple[int, int]] = []
+    for k in range(0x200, 0x110000):
+        was, now = (kind(u.category(chr(k))) for u in (unicodedata.ucd_3_2_0, unicodedata))
+        if was == "Cn" or was != now:
             if out and out[-1][1] == k - 1:
                 out[-1] = (out[-1][0], k)
             else:
@@ -184,14 +189,13 @@ class Aligned:
     def __init__(self, texts: list[str]):
         t = tokenizers()
         usable = [bool(x) for x in texts]
-        a = [t.a(x) if u else [] for x, u in zip(texts, usable, strict=True)]
+        data = [np.frombuffer(b" " + x.encode(), np.uint8) for x in texts]
+        a = [t.a(x, d) if u else [] for x, d, u in zip(texts, data, usable, strict=True)]
         b = iter(t.b([x for x in texts if x]))
         b = [next(b) if u else [] for u in usable]
-        for k, x in enumerate(texts):
-            if usable[k]:
-                data = np.frombuffer(b" " + x.encode(), np.uint8)
-                if not all(np.array_equal(v.joined(np.array(ids, np.int64)), data) for v, ids in ((t.a_bytes, a[k]), (t.b_bytes, b[k]))):
-                    usable[k], a[k], b[k] = False, [], []
+        for k, d in enumerate(data):
+            if usable[k] and not all(np.array_equal(v.joined(np.array(ids, np.int64)), d) for v, ids in ((t.a_bytes, a[k]), (t.b_bytes, b[k]))):
+                a[k], b[k] = [], []
         self.a_first, self.b_first = (np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64) for ids in (a, b))
         self.a, self.b = (np.fromiter(chain.from_iterable(ids), np.int64, int(first[-1])) for ids, first in ((a, self.a_first), (b, self.b_first)))
         a_length, b_length = t.a_bytes.length[self.a], t.b_bytes.length[self.b]
