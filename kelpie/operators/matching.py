@@ -7,24 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpie.functions.text import key_fold, overlap, spaced, token_set
+from kelpie.operators.containment import contained, outermost
 
 
 def numbers_inside(files: DataFrame, keys: list[str], name: str, known: DataFrame, number: str, least: int) -> DataFrame:
     """(keys, number, found): the known number inside a name, separators apart. A number inside a longer one that is found
-    too does not count; with several left, number is null and found tells how many.
-
-    Every piece of a name as long as some known number is a key, so the sides meet in an equality join; lengths that no
-    number has make no pieces. Names are short; texts go through contained_phrases.
-    """
+    too does not count; with several left, number is null and found tells how many."""
     numbers = known.select(key_fold(F.col(number)).alias("n_")).filter(F.length("n_") >= least).distinct()
-    lengths = numbers.agg(F.array_sort(F.collect_set(F.length("n_"))).alias("l_"))  # one row of the lengths that occur
-    flat = files.select(*keys, key_fold(F.col(name)).alias("f_")).join(F.broadcast(lengths))
-    sizes = F.filter("l_", lambda n: n <= F.length("f_"))
-    pieces = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("f_") - n + 1), lambda at: F.substring(F.col("f_"), at, n)))))
-    hits = flat.select(*keys, F.explode(pieces).alias("n_")).join(numbers, "n_")
+    hits = contained(files, keys, key_fold(F.col(name)), numbers, F.col("n_"), [F.col("n_")])
     group = hits.groupBy(*keys).agg(F.collect_set("n_").alias("all_"))
-    longest = F.filter("all_", lambda n: ~F.exists("all_", lambda m: (F.length(m) > F.length(n)) & F.contains(m, n)))
-    return group.select(*keys, longest.alias("b_")).select(*keys, F.when(F.size("b_") == 1, F.element_at("b_", 1)).alias("number"), F.size("b_").cast("long").alias("found"))
+    return group.select(*keys, outermost(F.col("all_")).alias("b_")).select(*keys, F.when(F.size("b_") == 1, F.element_at("b_", 1)).alias("number"), F.size("b_").cast("long").alias("found"))
 
 
 def chosen_by_tokens(candidates: DataFrame, group: str, id_: str, name: str, texts: DataFrame, text: str, least: int) -> DataFrame:

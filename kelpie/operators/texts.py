@@ -7,33 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpie.functions.text import overlap, spaced, token_set
-
-ANCHOR_WORDS = 3
-
+from kelpie.operators.containment import contained
 
 def contained_phrases(docs: DataFrame, doc_id: str, text: str, phrases: DataFrame, phrase_id: str, phrase: str) -> DataFrame:
-    """(doc_id, phrase_id) where all words of a phrase stand in a row in a text.
-
-    Texts and phrases meet on the phrase's first ANCHOR_WORDS words, or all of fewer. Each place of a text carries its next
-    words, as many as the longest phrase has, so the whole phrase is compared where they meet and no text is joined again.
-    Places whose word no phrase begins with are dropped first, by a semi-join on that word. A phrase without words is in no
-    text.
-    """
-    wanted = phrases.select(phrase_id, spaced(F.col(phrase)).alias("p_")).filter("p_ <> ''")
-    wanted = wanted.withColumn("w_", F.split("p_", " ")).withColumn("k_", F.least(F.size("w_"), F.lit(ANCHOR_WORDS)))
-    wanted = wanted.withColumn("anchor_", F.xxhash64(F.array_join(F.slice("w_", F.lit(1), F.col("k_")), " ")))
-    sizes = wanted.agg(F.max(F.size("w_")).alias("most_"), F.collect_set("k_").alias("lengths_")).first()
-    if not sizes["most_"]:
-        return docs.join(phrases, F.lit(False)).select(doc_id, phrase_id)
-    words = docs.select(doc_id, F.split(spaced(F.col(text)), " ").alias("w_"))
-    places = words.select(doc_id, "w_", F.posexplode("w_").alias("at_", "first_"))
-    # the first word alone tells most places apart from all phrases; a phrase's first words are few
-    openers = wanted.select(F.element_at("w_", 1).alias("first_")).distinct()
-    places = places.join(openers, "first_", "left_semi")
-    runs = F.array(*[F.xxhash64(F.array_join(F.slice("w_", F.col("at_") + 1, F.lit(k)), " ")) for k in sorted(sizes["lengths_"])])
-    tail = F.concat(F.array_join(F.slice("w_", F.col("at_") + 1, F.lit(sizes["most_"])), " "), F.lit(" "))
-    met = places.select(doc_id, tail.alias("t_"), F.explode(runs).alias("anchor_")).join(wanted.select(phrase_id, "p_", "anchor_"), "anchor_")
-    return met.filter(F.startswith("t_", F.concat("p_", F.lit(" ")))).select(doc_id, phrase_id).distinct()
+    """(doc_id, phrase_id) where all words of a phrase stand in a row in a text; one row each. A phrase without words is in no
+    text."""
+    def framed(words: Column) -> Column:
+        return F.concat(F.lit(" "), words, F.lit(" "))
+
+    known = phrases.select(F.col(phrase_id).alias("p_"), spaced(F.col(phrase)).alias("w_")).filter("w_ <> ''")
+    found = contained(docs.select(F.col(doc_id).alias("d_"), text), ["d_"], framed(spaced(F.col(text))), known, framed(F.col("w_")), [F.col("p_")])
+    return found.select(F.col("d_").alias(doc_id), F.col("p_").alias(phrase_id)).distinct()
 
 
 def similar_names(left: DataFrame, right: DataFrame, block: list[str], a_id: str, b_id: str, a: str, b: str, least: float) -> DataFrame:
