@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpie.functions.arrays import has_all, has_any
+from kelpie.functions.rules import deadline_class
 from kelpie.functions.text import search_match
 from kelpie.operators.listing import facets
 
@@ -65,6 +66,33 @@ def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n).withColumn("place", F.row_number().over(W.orderBy(*order)))
 
 
+def deadline_runs(df: DataFrame, status: str, deadline: str, published: str, today: Column, *, descending: bool = False) -> tuple[DataFrame, list[Column], list[str]]:
+    """df with class and the columns of its run, the order of runs, and their names.
+
+    Classes stand as deadline_class has them. In a class, coming deadlines stand first, by day (the far ones first where
+    descending); then the others, newest publication first. The classes keep their order in both directions.
+    """
+    coming = F.coalesce(F.col(deadline) >= today, F.lit(False))
+    marked = df.withColumns({"class": deadline_class(F.col(status), F.col(deadline), today), "coming_": coming, "run_": F.when(coming, F.col(deadline)).otherwise(F.col(published)).cast("date")})
+    days = F.datediff("run_", F.lit("1970-01-01").cast("date"))
+    marked = marked.withColumn("day_", F.when(F.col("coming_") & F.lit(not descending), days).otherwise(-days))
+    runs = ["class", "coming_", "run_"]
+    return marked, [F.asc("class"), F.desc("coming_"), F.asc_nulls_last("day_")], runs
+
+
+def deadline_page(df: DataFrame, id_: str, status: str, deadline: str, published: str, country: str, today: Column, rows: int, *, descending: bool = False) -> DataFrame:
+    """The first `rows` rows by deadline, with class and place; countries take turns inside a day. A page is the feature.
+
+    Every day has a row, so the first `rows` days fill the page, and only their rows are put in turns.
+    """
+    marked, order, runs = deadline_runs(df, status, deadline, published, today, descending=descending)
+    first = marked.groupBy(*runs, "day_").agg(F.count("*").alias("n_")).orderBy(*order).limit(rows).withColumn("seen_", F.sum("n_").over(W.orderBy(*order)) - F.col("n_"))
+    needed = first.filter(F.col("seen_") < rows).select("class", "coming_", F.coalesce("run_", F.lit("0001-01-01").cast("date")).alias("key_"))  # at most `rows` of them
+    near = marked.withColumn("key_", F.coalesce("run_", F.lit("0001-01-01").cast("date"))).join(F.broadcast(needed), ["class", "coming_", "key_"], "left_semi")
+    turns = interleaved_runs(near, runs, country, [F.asc(id_)]).withColumnRenamed("place", "turn_")
+    return first_rows(turns, [*order, F.asc("turn_")], rows).drop("coming_", "run_", "day_", "key_", "turn_")
+
+
 def related(df: DataFrame, id_: str, block: str, tags: str, order: list[Column], k: int, ignore: str) -> DataFrame:
     """(id, other, place): for each row the k rows of its block that share most tags, then by order.
 

@@ -70,13 +70,22 @@ def sibling_filled(df: DataFrame, family: str, order: list[Column], fields: list
     return df.withColumns({f: F.coalesce(f, F.first(f, ignorenulls=True).over(w)) for f in fields})
 
 
+#: Rows up to the end of a page that is read from the front.
+EARLY = 10_000
+
+
 def page(df: DataFrame, order: list[Column], number: int, rows: int) -> DataFrame:
     """One page; a number outside 1 to the last page is moved to the nearest. order is total.
 
-    Rows are dealt to partitions by ranges of the order and stored, since another run might draw other ranges. The counts,
+    An early page is among the first rows, of which each task keeps no more than lie up to its end. For a later one, rows are dealt to partitions by ranges of the order and stored, since another run might draw other ranges. The counts,
     one number a partition, tell which partitions hold the page, so no task ever holds more than its own range, however late
     the page is.
     """
+    if number * rows <= EARLY:
+        place = W.orderBy(*order)
+        head = df.orderBy(*order).limit(max(number, 1) * rows).withColumn("place_", F.row_number().over(place))
+        first = (F.least(F.lit(max(number, 1)), F.greatest(F.ceil(F.max("place_").over(W.partitionBy()) / rows), F.lit(1))) - 1) * rows
+        return head.withColumn("first_", first).filter((F.col("place_") > F.col("first_")) & (F.col("place_") <= F.col("first_") + rows)).select(*df.columns)
     ranged = stored(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "pages")
     counts = ranged.groupBy("part_").agg(F.count("*").alias("n_"))
     upto = W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)

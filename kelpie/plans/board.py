@@ -308,43 +308,41 @@ def digest_top(spark, d):
     return people.join(heads, ["country", "industry"]).select("c_custkey", "id", "place")
 
 
-_VISITS = """v AS (SELECT event_id, event_type <> 'error' AS entry, CASE user_id % 5 WHEN 0 THEN 'Google' WHEN 1 THEN 'newsletter' WHEN 2 THEN 'flyer' END AS tag, CASE WHEN user_id % 5 = 3 THEN CASE event_id % 5 WHEN 0 THEN 'gemini.google.com' WHEN 1 THEN 'www.google.co.uk' WHEN 2 THEN 'linkedin.com' WHEN 3 THEN 'webmail.host.org' ELSE 'blog.net' END END AS host,
-CASE WHEN event_id % 3 = 0 THEN 'app' END AS app, CASE event_id % 8 WHEN 0 THEN '/' WHEN 1 THEN '/notices?x=1' WHEN 2 THEN '/notices/a-b' WHEN 3 THEN '/guides/one' WHEN 4 THEN '/pricing' WHEN 5 THEN NULL WHEN 6 THEN '/a/very/long/path/that/goes/on/and/on/for/ever/and/ever' ELSE '/weekly' END AS path,
-CASE event_id % 6 WHEN 0 THEN 'Mozilla/5.0 (Windows NT 10.0) Chrome/120 Safari/537 Edg/120' WHEN 1 THEN 'Mozilla/5.0 (iPhone; CPU iPhone OS 17 like Mac OS X) Safari/604' WHEN 2 THEN 'Mozilla/5.0 (X11; Linux x86_64) Firefox/121' WHEN 3 THEN 'Mozilla/5.0 (Linux; Android 14) Chrome/120' WHEN 4 THEN '' END AS agent FROM events)"""
+# A visit is a page's address: its host refers, its path is where the visit landed, and every third has a campaign word.
+_VISITS = r"""v AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+(/.*)$', 1) AS path, CASE page_id % 6 WHEN 0 THEN 'Bulletin ' WHEN 3 THEN 'radio' END AS tag FROM pages)"""
 
 
 def _visits(spark, d):
-    e, u = F.col("event_id"), F.col("user_id")
-
-    def pick(of, by, values):
-        out = F.when(of % by == 0, values[0])
-        for k, v in enumerate(values[1:], 1):
-            out = out.when(of % by == k, v)
-        return out
-
-    return table(spark, d, "events").select(
-        "event_id", (F.col("event_type") != "error").alias("entry"), pick(u, 5, ["Google", "newsletter", "flyer"]).alias("tag"),
-        F.when(u % 5 == 3, pick(e, 5, ["gemini.google.com", "www.google.co.uk", "linkedin.com", "webmail.host.org", "blog.net"])).alias("host"), F.when(e % 3 == 0, "app").alias("app"),
-        pick(e, 8, ["/", "/notices?x=1", "/notices/a-b", "/guides/one", "/pricing", None, "/a/very/long/path/that/goes/on/and/on/for/ever/and/ever", "/weekly"]).alias("path"),
-        pick(e, 6, ["Mozilla/5.0 (Windows NT 10.0) Chrome/120 Safari/537 Edg/120", "Mozilla/5.0 (iPhone; CPU iPhone OS 17 like Mac OS X) Safari/604", "Mozilla/5.0 (X11; Linux x86_64) Firefox/121", "Mozilla/5.0 (Linux; Android 14) Chrome/120", ""]).alias("agent"),
-    )
+    k, url = F.col("page_id"), F.col("url")
+    return table(spark, d, "pages").select("page_id", F.regexp_extract(url, "^https?://([^/]+)", 1).alias("host"), F.regexp_extract(url, "^https?://[^/]+(/.*)$", 1).alias("path"), F.when(k % 6 == 0, "Bulletin ").when(k % 6 == 3, "radio").alias("tag"))
 
 
-@query(f"""WITH {_VISITS} SELECT CASE WHEN NOT entry THEN 'unrecorded' WHEN tag IS NOT NULL THEN CASE WHEN lower(tag) IN ('google', 'bing') THEN 'search' WHEN lower(tag) IN ('email', 'mail', 'newsletter', 'digest') THEN 'email' ELSE 'tagged' END
-WHEN host IS NOT NULL THEN CASE WHEN host = 'gemini.google.com' THEN 'assistant' WHEN host = 'www.google.co.uk' THEN 'search' WHEN host = 'linkedin.com' THEN 'social' WHEN host = 'webmail.host.org' THEN 'email' ELSE 'referral' END WHEN app IS NOT NULL THEN app ELSE 'direct' END AS source, count(*) AS n FROM v GROUP BY 1""")
+@query(rf"""WITH {_VISITS} SELECT CASE WHEN page_id % 7 = 0 THEN 'not an entry' WHEN tag = 'Bulletin ' THEN 'mailing' WHEN tag IS NOT NULL THEN 'campaign' WHEN regexp_matches(host, '(^|\.)blog\.example\.(com|net)$') THEN 'press' WHEN regexp_matches(host, '(^|\.)m\.example\.com$') THEN 'mobile site'
+WHEN regexp_matches(host, '(^|\.)example\.com$') THEN 'partner' WHEN regexp_matches(host, '(^|\.)example\.net$') THEN 'portal' WHEN regexp_matches(host, '(^|\.)example\.org$') THEN 'community' ELSE 'referral' END AS source, count(*) AS n FROM v GROUP BY 1""")
 def traffic_sources(spark, d):
-    v = _visits(spark, d)
-    return v.groupBy(visits.traffic_source(F.col("entry"), F.col("tag"), F.col("host"), F.col("app")).alias("source")).agg(F.count("*").alias("n"))
+    source = visits.traffic_source(F.col("page_id") % 7 != 0, F.col("tag"), F.col("host"), F.lit(None).cast("string"))
+    return _visits(spark, d).groupBy(source.alias("source")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_VISITS} SELECT CASE WHEN path IS NULL OR path = '/' THEN 'home' WHEN path = '/notices?x=1' THEN 'list' WHEN path = '/notices/a-b' THEN 'detail' WHEN path = '/guides/one' THEN 'guides' WHEN path = '/pricing' THEN 'pricing' WHEN path = '/weekly' THEN 'weekly' ELSE substr(path, 1, 40) END AS landing, count(*) AS n FROM v GROUP BY 1")
+@query(rf"""WITH {_VISITS}, c AS (SELECT regexp_replace(path, '[?#].*', '') AS p FROM v) SELECT CASE WHEN p IN ('', '/') THEN 'front' WHEN regexp_matches(p, '^/en(/|$)') THEN 'english' WHEN regexp_matches(p, '^/de(/|$)') THEN 'german' WHEN regexp_matches(p, '^/fr(/|$)') THEN 'french' WHEN regexp_matches(p, '^/es(/|$)') THEN 'spanish' ELSE substr(p, 1, {visits.SHOWN}) END AS landing, count(*) AS n FROM c GROUP BY 1""")
 def landing_groups(spark, d):
     return _visits(spark, d).groupBy(visits.landing_group(F.col("path")).alias("landing")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_VISITS} SELECT CASE WHEN agent LIKE '%Edg/%' THEN 'Windows Edge' WHEN agent LIKE '%iPhone%' THEN 'iOS Safari' WHEN agent LIKE '%Firefox%' THEN 'Linux Firefox' WHEN agent LIKE '%Android%' THEN 'Android Chrome' ELSE 'unknown' END AS device, count(*) AS n FROM v GROUP BY 1")
+_AGENTS = """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Mozilla/5.0 (' WHEN 1 THEN 'Agent (' ELSE '(' END || event_type || '; ' || CASE user_id % 7 WHEN 0 THEN 'X11; CrOS x86_64' WHEN 1 THEN 'Linux; Android 14' WHEN 2 THEN 'iPad; CPU OS 17' WHEN 3 THEN 'Windows NT 10.0' WHEN 4 THEN 'Linux x86_64' ELSE '' END || ') ' ||
+CASE user_id % 5 WHEN 0 THEN 'Chrome/120 Safari/537' WHEN 1 THEN 'Chrome/120 Safari/537 Edg/120' WHEN 2 THEN 'Firefox/121' WHEN 3 THEN 'safari-like' ELSE 'Version/17 Safari/604' END AS agent FROM events"""
+
+
+@query(rf"""WITH v AS ({_AGENTS}), s AS (SELECT CASE WHEN regexp_matches(agent, 'CrOS') THEN 'ChromeOS' WHEN regexp_matches(agent, 'Android') THEN 'Android' WHEN regexp_matches(agent, 'iPad') THEN 'iPadOS' WHEN regexp_matches(agent, 'Windows') THEN 'Windows' WHEN regexp_matches(agent, 'Linux') THEN 'Linux' END AS system,
+CASE WHEN regexp_matches(agent, 'Edg/') THEN 'Edge' WHEN regexp_matches(agent, 'Firefox/') THEN 'Firefox' WHEN regexp_matches(agent, 'Chrome/') THEN 'Chrome' WHEN regexp_matches(agent, 'Safari/') THEN 'Safari' END AS browser FROM v)
+SELECT coalesce(nullif(concat_ws(', ', system, browser), ''), 'unknown') AS device, count(*) AS n FROM s GROUP BY 1""")
 def devices(spark, d):
-    return _visits(spark, d).groupBy(visits.device(F.col("agent")).alias("device")).agg(F.count("*").alias("n"))
+    u, e = F.col("user_id"), F.col("event_id")
+    system = F.when(u % 7 == 0, "X11; CrOS x86_64").when(u % 7 == 1, "Linux; Android 14").when(u % 7 == 2, "iPad; CPU OS 17").when(u % 7 == 3, "Windows NT 10.0").when(u % 7 == 4, "Linux x86_64").otherwise("")
+    product = F.when(u % 5 == 0, "Chrome/120 Safari/537").when(u % 5 == 1, "Chrome/120 Safari/537 Edg/120").when(u % 5 == 2, "Firefox/121").when(u % 5 == 3, "safari-like").otherwise("Version/17 Safari/604")
+    head = F.when(e % 3 == 0, "Mozilla/5.0 (").when(e % 3 == 1, "Agent (").otherwise("(")
+    agent = F.concat(head, "event_type", F.lit("; "), system, F.lit(") "), product)
+    return table(spark, d, "events").groupBy(visits.device(agent).alias("device")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_B}, p AS (SELECT *, CASE WHEN id % 3 = 0 THEN ['water', 'general'] ELSE ['roads'] END AS other FROM b) SELECT id, list_sort(industries) = list_sort(other) AS same, array_to_string(CASE WHEN len(m) > 0 THEN m ELSE ['general'] END, ',') AS merged FROM (SELECT *, list_filter(industries, lambda x: x <> 'general') || list_filter(other, lambda x: x <> 'general' AND NOT list_contains(industries, x)) AS m FROM p)")
@@ -382,18 +380,44 @@ def board_page(spark, d):
     )
 
 
+def _deadline_sql(sign: str) -> str:
+    return f"""WITH {_B}, k AS (SELECT id, country, CASE WHEN deadline >= {_T} AND status IN ('open', 'clarification') THEN 0 WHEN status = 'planned' THEN 1 WHEN status = 'suspended' THEN 2 WHEN status = 'awarded' THEN 3 WHEN deadline >= {_T} THEN 4 ELSE 5 END AS class,
+coalesce(deadline >= {_T}, false) AS coming, CASE WHEN deadline >= {_T} THEN deadline ELSE pub END AS day FROM b), p AS (SELECT *, row_number() OVER (PARTITION BY class, coming, day ORDER BY id) AS p, row_number() OVER (PARTITION BY class, coming, day, country ORDER BY id) AS turn FROM k),
+l AS (SELECT *, min(p) OVER (PARTITION BY class, coming, day, country) AS lead, CASE WHEN coming THEN {sign} ELSE -1 END * date_diff('day', DATE '1970-01-01', day) AS far FROM p)
+SELECT id, CAST(class AS INTEGER) AS class, row_number() OVER (ORDER BY class, coming DESC, far NULLS LAST, turn, lead) AS place FROM l ORDER BY place LIMIT {base.PAGE_ROWS}"""
+
+
+def _by_deadline(spark, d, descending):
+    out = ops.deadline_page(_board(spark, d), "id", "status", "deadline", "pub", "country", _today(), base.PAGE_ROWS, descending=descending)
+    return out.select("id", "class", F.col("place").cast("long").alias("place"))
+
+
+@query(_deadline_sql("1"))
+def board_by_deadline(spark, d):
+    """The first page by deadline on the derived status, near days first, countries in turns inside a day."""
+    return _by_deadline(spark, d, False)
+
+
+@query(_deadline_sql("-1"))
+def board_by_far_deadline(spark, d):
+    """The same with far days first; classes keep their order."""
+    return _by_deadline(spark, d, True)
+
+
 @query()
 def sort_recommended(spark, d):
-    """Live notices: the showcase first, then by size and deadline with countries in turns; the rest by deadline classes."""
+    """Live notices with a coming deadline: the showcase first, then by size and deadline with countries in turns; the rest
+    by deadline classes and days, with countries in turns inside a day."""
     rows = _board(spark, d).filter("tier <> 'excluded'").withColumn("size", 3 - _weight())
-    live = _live(rows)
+    rows, _, runs = ops.deadline_runs(rows, "status", "deadline", "pub", _today())
+    live = rows.filter("class = 0")
     picks = ops.showcase(live, "id", "industries", "country", "size", ["deadline"], INDUSTRIES, 2).select("id", F.lit(0).alias("section"))
-    marked = rows.join(F.broadcast(picks), "id", "left").withColumn("section", F.coalesce("section", F.when(F.col("status").isin(*LIVE), 1).otherwise(2)))
-    head, tail = marked.filter("section < 2"), marked.filter("section = 2")
+    marked = rows.join(F.broadcast(picks), "id", "left").withColumn("section", F.coalesce("section", F.when(F.col("class") == 0, 1).otherwise(2)))
     order = [F.asc_nulls_last("deadline"), F.asc("id")]
-    head = ops.interleaved_runs(head.withColumn("run", F.when(F.col("section") == 1, F.col("deadline"))), ["section", "size", "run"], "country", order)
-    tail = tail.withColumns({"run": F.lit(None).cast("date"), "place": F.lit(None).cast("int")})
-    return head.unionByName(tail).select("id", "section", "size", F.date_format("run", "yyyy-MM-dd").alias("run"), "place", F.date_format("deadline", "yyyy-MM-dd").alias("deadline"))
+    head = marked.filter("section < 2").withColumn("run", F.when(F.col("section") == 1, F.col("deadline")))
+    head = ops.interleaved_runs(head, ["section", "size", "run"], "country", order)
+    tail = ops.interleaved_runs(marked.filter("section = 2").withColumn("run", F.col("run_")), ["section", *runs], "country", [F.asc("id")])
+    return head.unionByName(tail).select("id", "section", "class", "size", F.date_format("run", "yyyy-MM-dd").alias("run"), "place", F.date_format("deadline", "yyyy-MM-dd").alias("deadline"))
 
 
 _R = """r AS (SELECT p_partkey, lower(p_name) AS t, p_type AS kind, p_size AS size, CASE WHEN p_partkey % 9 <> 0 THEN p_retailprice * (p_partkey % 400) END AS v, p_partkey % 6 = 0 AS major, p_partkey % 300 AS days, p_partkey % 4 = 0 AS local, p_brand FROM part)"""

@@ -62,12 +62,12 @@ def status_refresh(spark, d):
     return _notices(spark, d).withColumn("status", _status()).filter(change).select("o_orderkey", "status")
 
 
-@query(f"""WITH {_S}, k AS (SELECT *, CASE WHEN deadline >= {_T} AND stored = 'open' THEN 0 WHEN stored = 'planned' THEN 1 WHEN stored = 'awarded' THEN 3 WHEN deadline >= {_T} THEN 4 ELSE 5 END AS class FROM s)
+@query(f"""WITH {_S}, k AS (SELECT *, CASE WHEN deadline >= {_T} AND status = 'open' THEN 0 WHEN status = 'planned' THEN 1 WHEN status = 'awarded' THEN 3 WHEN deadline >= {_T} THEN 4 ELSE 5 END AS class FROM s)
 SELECT o_orderkey, CAST(class AS INTEGER) AS class FROM k ORDER BY class, coalesce(deadline >= {_T}, false) DESC, CASE WHEN deadline >= {_T} THEN deadline END NULLS LAST, pub DESC, o_orderkey LIMIT {PAGE_ROWS}""")
 def sort_deadline_priority(spark, d):
     """The first page by deadline; a page is the feature. Inside a class, coming deadlines stand first, so the order is total."""
     coming = F.coalesce(F.col("deadline") >= _today(), F.lit(False))
-    n = _notices(spark, d).withColumn("class", deadline_class(F.col("stored"), F.col("deadline"), _today()))
+    n = _notices(spark, d).withColumn("class", deadline_class(_status(), F.col("deadline"), _today()))
     order = [F.asc("class"), coming.desc(), F.when(coming, F.col("deadline")).asc_nulls_last(), F.desc("pub"), F.asc("o_orderkey")]
     return ops.page(n, order, 1, PAGE_ROWS).select("o_orderkey", "class")
 

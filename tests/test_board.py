@@ -69,3 +69,44 @@ def test_related_rows_meet_heads_only(spark):
         others = sorted((-len((set(mine) - {"general"}) & set(t)), due, j) for j, b, t, due in rows if b == block and j != i)
         want += [(i, j, n) for n, (_, _, j) in enumerate(others[:3], 1)]
     assert got == sorted(want)
+
+
+def test_recommended_order_in_whole(spark):
+    """Sections, classes and turns of every row against plain sorting."""
+    from itertools import groupby
+
+    from kelpie.plans import board
+
+    rows = [r.asDict() for r in board.sort_recommended(spark, "/root/testdata/sf0.001").collect()]
+    facts = {r.id: r for r in board._board(spark, "/root/testdata/sf0.001").filter("tier <> 'excluded'").collect()}
+    assert sorted(r["id"] for r in rows) == sorted(facts)
+    today = str(board.base.TODAY)
+    for r in rows:
+        f = facts[r["id"]]
+        coming = f.deadline is not None and str(f.deadline)[:10] >= today
+        expected = 0 if coming and f.status in board.LIVE else {"planned": 1, "suspended": 2, "awarded": 3}.get(f.status, 4 if coming else 5)
+        assert r["class"] == expected and (r["section"] == 2) == (expected > 0)
+        if r["section"] == 2:
+            assert r["run"] == str(f.deadline if coming else f.pub)[:10]
+    key = lambda r: (r["class"], r["deadline"] is not None and r["deadline"] >= today, r["run"])
+    for _, run in groupby(sorted((r for r in rows if r["section"] == 2), key=key), key=key):
+        run = list(run)
+        ids = sorted(r["id"] for r in run)
+        queues, turns = {}, []
+        for i in ids:
+            queues.setdefault(facts[i].country, []).append(i)
+        while any(queues.values()):
+            turns += [q.pop(0) for q in queues.values() if q]
+        assert [r["id"] for r in sorted(run, key=lambda r: r["place"])] == turns
+    assert len([r for r in rows if r["section"] == 0]) <= 2 * len(board.INDUSTRIES)
+
+
+def test_early_pages(spark):
+    from pyspark.sql import functions as F
+
+    from kelpie.operators.notices import page
+
+    frame = spark.range(95).repartition(4)
+    for number, first, n in ((-3, 0, 10), (1, 0, 10), (3, 20, 10), (10, 90, 5), (77, 90, 5)):
+        assert sorted(r.id for r in page(frame, [F.asc("id")], number, 10).collect()) == list(range(first, first + n))
+    assert page(frame.limit(0), [F.asc("id")], 4, 10).count() == 0

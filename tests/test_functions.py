@@ -40,6 +40,13 @@ def test_calendar(spark):
 
 
 def test_visits_and_access(spark):
-    assert values(spark, visits.device(F.col("v")), ["Mozilla (Windows) Chrome/1 Safari/1 OPR/9", "curl", None]) == ["Windows Opera", "unknown", "unknown"]
+    agents = ["Mozilla/5.0 (Windows NT 10.0) Chrome/1 Safari/1 OPR/9", "curl", None, "x (Linux; Android 14; HarmonyOS)", "Mozilla (iPhone) FxiOS/3 Safari/1"]
+    assert values(spark, visits.device(F.col("v")), agents) == ["Windows, Opera", "unknown", "unknown", "Android", "iOS, Firefox"]
+    hosts = ["Blog.Example.com", "my.blog.example.com.", "notexample.com", "example.com", None, "ask.search.example.org", ""]
+    assert values(spark, visits.channel_of_host(F.col("v")), hosts) == ["press", "press", None, "partner", None, "assistant", None]
+    paths = ["/board/archive/3?x=/en", "/board", "/boards/1", None, "//", "/en/terms#a", "/" + "x" * 60]
+    assert values(spark, visits.landing_group(F.col("v")), paths) == ["archive", "board", "/boards/1", "front", "front", "terms", "/" + "x" * 31]
+    source = visits.traffic_source(F.lit(True), F.when(F.col("v") == "tag", " ALERT"), F.when(F.col("v") == "host", "else.org"), F.when(F.col("v") == "app", "app"))
+    assert values(spark, source, ["tag", "host", "app", "none"]) == ["mailing", "referral", "app", "direct"]
     day = access.release_day(F.lit("suspended"), F.lit("2024-01-01").cast("date"), F.lit(None).cast("date"), F.lit(None).cast("date"))
     assert values(spark, day, ["x"]) == [None]
