@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,12 +75,46 @@ def bounded_count(text: Column, needle: str, most: int = 4) -> Column:
     return F.least(F.lit(most), ((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("int"))
 
 
+#: Names of characters beside the accented letters, whose names follow a rule (fixed values of the markup language).
+NAMED = {
+    "nbsp": " ", "ensp": " ", "emsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "laquo": "«", "raquo": "»", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
+    "ndash": "–", "mdash": "—", "hellip": "…", "bull": "•", "middot": "·", "deg": "°", "ordm": "º", "ordf": "ª", "sup2": "²", "sup3": "³", "euro": "€", "pound": "£", "yen": "¥", "cent": "¢",
+    "copy": "©", "reg": "®", "trade": "™", "sect": "§", "para": "¶", "times": "×", "divide": "÷", "plusmn": "±", "iexcl": "¡", "iquest": "¿", "szlig": "ß", "oslash": "ø", "Oslash": "Ø", "aelig": "æ", "AElig": "Æ",
+}
+_MARKS = {"grave": "\u0300", "acute": "\u0301", "circ": "\u0302", "tilde": "\u0303", "uml": "\u0308", "cedil": "\u0327", "ring": "\u030a"}
+
+
+def _entities() -> dict[str, str]:
+    """Every accented Latin letter that has a name (letter and mark), and NAMED."""
+    composed = {f"{c}{m}": unicodedata.normalize("NFC", c + sign) for m, sign in _MARKS.items() for c in "AEIOUYNCaeiouync"}
+    return {name: char for name, char in composed.items() if len(char) == 1} | NAMED
+
+
+def entities_decoded(text: Column) -> Column:
+    """Named and numeric character references become their characters, once: `&amp;lt;` becomes `&lt;`. Unknown names, and
+    numbers that are no character, stay as they are written."""
+    pattern = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+    names = _entities() | {"amp": "&"}
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+
+    def decoded(name: Column) -> Column:
+        digits = F.regexp_replace(name, "^#[xX]?", "")
+        number = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        # a code point is written as UTF-32 and read back
+        char = F.decode(F.unhex(F.lpad(F.hex(number.cast("long")), 8, "0")), "UTF-32")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        return F.when(F.startswith(name, F.lit("#")), F.when(valid, char)).otherwise(F.element_at(known, name))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), found.alias("name"))
+    joined = F.transform(pieces, lambda x: F.concat(x["piece"], F.when(x["name"].isNull(), "").otherwise(F.coalesce(decoded(x["name"]), F.concat(F.lit("&"), x["name"], F.lit(";"))))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(joined, "")).otherwise(text)
+
+
 def html_text(html: Column) -> Column:
-    """Visible text: scripts, styles and tags go, common entities are decoded, white space is collapsed."""
+    """Visible text: scripts, styles and tags go, character references are decoded, white space is collapsed."""
     bare = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
-    bare = F.regexp_replace(bare, r"<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
+    bare = entities_decoded(F.regexp_replace(bare, r"<[^>]*>", " "))
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 

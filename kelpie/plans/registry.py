@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.plans import board, containment, events, listing, merges, notices, reports, streams, texts, wording
+from kelpie.plans import board, containment, events, listing, markup, merges, notices, reports, streams, texts, wording
 
 Query = Callable[[SparkSession, str], DataFrame]
-_FAMILIES = [board, containment, events, listing, merges, notices, reports, streams, texts, wording]
+_FAMILIES = [board, containment, events, listing, markup, merges, notices, reports, streams, texts, wording]
 
 
 def queries() -> dict[str, Query]:

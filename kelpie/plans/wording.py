@@ -176,7 +176,7 @@ def locale_numbers(spark, d):
     return o.select("o_orderkey", locale_number(raw).cast("double").alias("value"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text,
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text,
 regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM pages""")
 def page_texts(spark, d):
     return table(spark, d, "pages").select("page_id", html_text(F.col("html")).alias("text"), F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"))

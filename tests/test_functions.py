@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kelpie.functions import access, dates, free_text, visits
-from kelpie.functions.text import search_match
+from kelpie.functions.text import entities_decoded, search_match
 from kelpie.functions.unicode import search_folded, without_marks
 
 
@@ -50,3 +50,8 @@ def test_visits_and_access(spark):
     assert values(spark, source, ["tag", "host", "app", "none"]) == ["mailing", "referral", "app", "direct"]
     day = access.release_day(F.lit("suspended"), F.lit("2024-01-01").cast("date"), F.lit(None).cast("date"), F.lit(None).cast("date"))
     assert values(spark, day, ["x"]) == [None]
+
+
+def test_entities(spark):
+    raw = ["a &amp;lt; b", "&eacute;&Ntilde;&#233;&#xE9;&#x1F642;", "&nope; & &; &#0; &#xD800; &#x110000;", None, "", "R&D &ldquo;x&rdquo; &euro;5"]
+    assert values(spark, entities_decoded(F.col("v")), raw) == ["a &lt; b", "éÑéé🙂", "&nope; & &; &#0; &#xD800; &#x110000;", None, "", "R&D “x” €5"]
