@@ -348,13 +348,11 @@ def redact(docs: DataFrame, *, text_col: str = "text", model: SpanModel | None =
     Null texts stay null and empty ones empty. Where spans of two kinds overlap, the earlier one is replaced whole and the
     later one's rest is removed with it. Repeated rows are treated alike. Without candidates the text is unchanged.
     """
-    found = candidates(docs, text_col=text_col)
-    if model is None:  # every text is searched once: what is found is kept for the second step
-        found = materialize(found.drop("pii_text", "pii_pieces"), "pii-found")
-        model = fit_model(found)
-    marked = apply_model(found, model).drop("pii_base", "pii_failed", "pii_extra")
-    marked = marked.withColumn("pii_text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    marked = marked.withColumn("pii_pieces", _pieces(F.col("pii_text"), F.size("pii_spans") > 0))
+    model = model or fit_model(candidates(docs, text_col=text_col, carry=[]))
+    # a row carries its text once; the flag tells null texts from empty ones
+    marked_null = docs.withColumn("pii_null", F.col(f"`{text_col}`").isNull())
+    others = [c for c in docs.columns if c != text_col]
+    marked = apply_model(candidates(marked_null, text_col=text_col, carry=[*others, "pii_null"]), model).drop("pii_base", "pii_failed", "pii_extra")
     t, pieces = F.col("pii_text"), F.col("pii_pieces")
     end = F.struct(F.char_length(t).alias("start"), F.char_length(t).alias("end"), F.lit("").alias("kind"))
     by_start = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
@@ -366,7 +364,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", model: SpanModel | None =
         return F.when(x["s"]["start"] >= x["at"], F.concat(_between(pieces, x["at"], x["s"]["start"]), sign)).otherwise("")
 
     clean = F.array_join(F.transform(F.arrays_zip(F.col("pii_order").alias("s"), F.col("pii_at").alias("at")), part), "")
-    clean = F.when(F.size("pii_spans") > 0, F.when(F.size(pieces) > 0, clean)).otherwise(F.col(f"`{text_col}`"))
+    clean = F.when(F.col("pii_null"), None).when(F.size("pii_spans") > 0, F.when(F.size(pieces) > 0, clean)).otherwise(t)
     return marked.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 

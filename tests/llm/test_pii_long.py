@@ -8,7 +8,7 @@ import time
 
 def text_of(n):
     kinds = ("u{0}@h{0}.com", "+49 30 1{0:06d}", "4111 1111 1111 1111", "10.0.0.{1}", "naïve – {0}", "(202) 555-0{1:03d}")
-    return " ".join(kinds[k % 6].format(k, k % 256) for k in range(n))
+    return "; ".join(kinds[k % 6].format(k, k % 256) for k in range(n))
 
 
 def test_long_text(spark):
