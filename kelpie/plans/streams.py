@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kelpie.session import shared_folder, table
 from kelpie.streaming import events as ops
+from kelpie.streaming import keyed
 
 TYPES = ["signup", "purchase", "view", "click"]
 QUERIES, ORACLE = {}, {}
@@ -57,3 +58,28 @@ def stream_sessions(spark, d):
     ops.run_once(sessions(), folder, "append")
     end.write.mode("append").parquet(f"{folder}/end")
     return ops.run_once(sessions(), folder, "append").filter("user_id is not null").select("user_id", "n")
+
+
+def _closed(spark, d, build):
+    """build(stream) run over the log, then once more with a last row far ahead, which has no part in the result and lets the
+    watermark pass all others."""
+    folder = _folder(spark)
+    end = table(spark, d, "events").agg(F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("bigint").alias("event_id"), (F.max("ts") + F.expr("interval 400 days")).alias("ts")).filter("ts is not null")
+    end.filter("false").write.parquet(f"{folder}/end")
+
+    def both():
+        seen = [x.select("user_id", "event_id", "ts") for x in (_log(spark, d), ops.event_stream(spark, f"{folder}/end"))]
+        return build(seen[0].union(seen[1]))
+
+    ops.run_once(both(), folder, "append")
+    end.write.mode("append").parquet(f"{folder}/end")
+    return ops.run_once(both(), folder, "append")
+
+
+@query("""SELECT event_id, user_id, coalesce(epoch_us(ts) - epoch_us(lag(ts, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 86400000000, false) AS limited FROM events WHERE user_id IS NOT NULL""")
+def stream_rate_limits(spark, d):
+    """Which events put their user over three in a day. The watermark waits as long as files lie out of order, so none is
+    late, and a user's state ends a day after the last event."""
+    keyed.use_rocks(spark)
+    late = keyed.disorder(table(spark, d, "events"), "ts")
+    return _closed(spark, d, lambda s: keyed.over_limit(s, 86_400, 3, f"{late} seconds")).select("event_id", "user_id", "limited")
