@@ -16,7 +16,7 @@ from kelpie.llm.common import crc32, materialize, new_path, table
 from kelpie.llm.tokens import END_ID, encoder, vocabulary_path
 
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(8 << 20), "compression": "zstd"}
-STORED = "doc_id long, ids array<int>"
+STORED = "doc_id long, at long, ids array<int>"
 PARTITION_BYTES = 32 << 20
 
 
@@ -25,7 +25,7 @@ def _encode(path: str, end_id: int):
         enc = encoder(path)
         tail = end_id.to_bytes(4, "little")
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts, at_ = batch.columns
             for i in range(0, len(texts), 256):
                 each = [enc.encode(t) + tail for t in texts.slice(i, 256).to_pylist()]
                 offsets, at = [0], 0
@@ -33,7 +33,7 @@ def _encode(path: str, end_id: int):
                     at += len(x) // 4
                     offsets.append(at)
                 values = pa.Array.from_buffers(pa.int32(), at, [None, pa.py_buffer(b"".join(each))])
-                yield pa.RecordBatch.from_arrays([ids.slice(i, 256), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, 256), at_.slice(i, 256), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], ["doc_id", "at", "ids"])
 
     return run
 
@@ -52,6 +52,7 @@ def write_token_files(docs: DataFrame, path: str, *, vocabulary: str | None = No
     """
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     ordered = slim.repartitionByRange(_partitions(slim), F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    ordered = ordered.withColumn("at", F.monotonically_increasing_id())  # the row's place in the order of all files
     encoded = ordered.mapInArrow(_encode(vocabulary or vocabulary_path(), end_id), STORED)
     encoded.write.options(**ORC_OPTIONS).orc(path)
 
@@ -67,27 +68,27 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
 
 def _digest(batches):
     for batch in batches:
-        ids, lists, file = batch.column(0), batch.column(1), batch.column(2)
+        ids, at, lists, file = batch.columns
         values, off = memoryview(lists.values.buffers()[1] or b""), (lists.offsets.to_numpy() + lists.values.offset) * 4
         spans = list(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
         yield pa.RecordBatch.from_arrays(
-            [ids, file, pa.array([(b - a) // 4 for a, b in spans], pa.int64()), pa.array([crc32(values[a:b]) for a, b in spans], pa.int64())],
-            ["doc_id", "file", "n_tokens", "ids_crc32"],
+            [ids, at, file, pa.array([(b - a) // 4 for a, b in spans], pa.int64()), pa.array([crc32(values[a:b]) for a, b in spans], pa.int64())],
+            ["doc_id", "at", "file", "n_tokens", "ids_crc32"],
         )
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """One row per document as the files hold it: doc_id, start (ids before it in the whole), n_tokens, ids_crc32.
 
-    Files hold disjoint ascending ranges of ids. A running sum inside each file, plus the totals of the files before it,
-    gives the global start; nothing but one total a file is gathered.
+    Every row has its place in the order of all files, so rows that share an id start where the files hold them. A running sum
+    inside each file, plus the totals of the files before it, gives the global start; nothing but one total a file is gathered.
     """
-    rows = read_token_files(spark, path).select("doc_id", "ids", F.input_file_name().alias("file"))
-    rows = materialize(rows.mapInArrow(_digest, "doc_id long, file string, n_tokens long, ids_crc32 long"), "token-index")
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    before = W.orderBy(F.asc_nulls_first("low"), "high", "file").rowsBetween(W.unboundedPreceding, -1)
+    rows = read_token_files(spark, path).select("doc_id", "at", "ids", F.input_file_name().alias("file"))
+    rows = materialize(rows.mapInArrow(_digest, "doc_id long, at long, file string, n_tokens long, ids_crc32 long"), "token-index")
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min("at").alias("low"))
+    before = W.orderBy("low").rowsBetween(W.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inside = W.partitionBy("file").orderBy(F.asc_nulls_first("doc_id"), "n_tokens", "ids_crc32").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     return rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(files, "file").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
