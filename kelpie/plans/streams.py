@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kelpie.session import shared_folder, table
+from kelpie.streaming import digests, keyed
 from kelpie.streaming import events as ops
-from kelpie.streaming import keyed
 
 TYPES = ["signup", "purchase", "view", "click"]
 QUERIES, ORACLE = {}, {}
@@ -83,3 +83,28 @@ def stream_rate_limits(spark, d):
     keyed.use_rocks(spark)
     late = keyed.disorder(table(spark, d, "events"), "ts")
     return _closed(spark, d, lambda s: keyed.over_limit(s, 86_400, 3, f"{late} seconds")).select("event_id", "user_id", "limited")
+
+
+@query("""WITH s AS (SELECT DISTINCT user_id % 3 AS kind, user_id AS reader, date_trunc('day', ts) + INTERVAL 1 DAY AS slot FROM events WHERE event_type = 'signup' AND user_id IS NOT NULL),
+n AS (SELECT user_id % 3 AS kind, event_id, ts FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL)
+SELECT reader, strftime(slot, '%Y-%m-%d') AS slot, count(event_id) AS notices FROM s LEFT JOIN n ON n.kind = s.kind AND n.ts >= slot - INTERVAL 24 HOUR AND n.ts < slot GROUP BY s.kind, reader, slot""")
+def stream_digest_mails(spark, d):
+    """A mail to each user the midnight after a day they signed up, with the purchases of that day in their third of users.
+    Both sides are streams of the log; two last rows far ahead, which have no part in the result, close what is open."""
+    folder = _folder(spark)
+    late = f"{keyed.disorder(table(spark, d, 'events'), 'ts') + 86_400} seconds"
+    far = table(spark, d, "events").agg((F.max("ts") + F.expr("interval 400 days")).alias("ts")).filter("ts is not null")
+    end = far.select(F.lit(-3).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("event_id"), "ts", F.explode(F.array(F.lit("signup"), F.lit("purchase"))).alias("event_type"))
+    end.filter("false").write.parquet(f"{folder}/end")
+
+    def mails():
+        def side(kind):
+            seen = [x.select("user_id", "event_id", "ts", "event_type") for x in (_log(spark, d), ops.event_stream(spark, f"{folder}/end"))]
+            return seen[0].union(seen[1]).filter((F.col("event_type") == kind) & F.col("user_id").isNotNull()).withColumn("kind", F.col("user_id") % 3)
+
+        slots = side("signup").select("kind", F.col("user_id").alias("reader"), (F.date_trunc("day", "ts") + F.expr("interval 1 day")).alias("slot"))
+        return digests.digest_mails(slots, side("purchase").select("kind", F.col("event_id").alias("notice"), F.col("ts").alias("published")), ["kind"], 24, late)
+
+    ops.run_once(mails(), folder, "append")
+    end.write.mode("append").parquet(f"{folder}/end")
+    return ops.run_once(mails(), folder, "append").filter("reader >= 0").select("reader", F.date_format("slot", "yyyy-MM-dd").alias("slot"), "notices")
