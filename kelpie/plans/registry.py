@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.plans import board, containment, distinct, events, listing, markup, merges, notices, numerals, reports, snapshots, streams, texts, wording
+from kelpie.plans import board, containment, distinct, events, listing, markup, merges, near, notices, numerals, reports, snapshots, streams, texts, wording
 
 Query = Callable[[SparkSession, str], DataFrame]
-_FAMILIES = [board, containment, distinct, events, listing, markup, merges, notices, numerals, reports, snapshots, streams, texts, wording]
+_FAMILIES = [board, containment, distinct, events, listing, markup, merges, near, notices, numerals, reports, snapshots, streams, texts, wording]
 
 
 def queries() -> dict[str, Query]:
