@@ -1,10 +1,12 @@
-"""Queries over nearly equal rows of large blocks."""
+"""Queries over nearly equal rows of large blocks, and of subscribers' preferences."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from kelpie.operators.near_pairs import near_pairs, procurement_audit, word_nodes
+from kelpie.operators.preferences import matching_notices, with_profile
+from kelpie.plans import board
 from kelpie.session import stored, table
 
 QUERIES, ORACLE = {}, {}
@@ -52,3 +54,30 @@ def near_baskets(spark, d):
     u, v = (nodes.select(F.col("node").alias(k), F.col("first_id").alias(f"{k}_id"), F.col("rows").alias(f"{k}_rows")) for k in "uv")
     out = pairs.join(u, "u").join(v, "v")
     return out.select(F.least("u_id", "v_id").alias("a"), F.greatest("u_id", "v_id").alias("b"), F.least("u_rows", "v_rows").alias("fewer"), F.greatest("u_rows", "v_rows").alias("more"))
+
+
+_WANTS = """want AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN [] ELSE [n_name, 'NATION_3'] END AS c, CASE WHEN c_custkey % 3 = 0 THEN [] WHEN c_mktsegment = 'BUILDING' THEN ['roads'] ELSE ['power', 'water'] END AS i,
+CASE WHEN c_custkey % 5 = 0 THEN [] ELSE ['open', 'clarification', 'awarded'] END AS s, CASE WHEN c_custkey % 2 = 0 THEN [] ELSE ['flagship', 'significant'] END AS t, CASE WHEN c_custkey % 6 = 1 THEN ['#00000001', 'BUILD'] WHEN c_custkey % 6 = 2 THEN ['9'] ELSE [] END AS k FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
+
+
+@query(f"""WITH {board._B}, notice AS (SELECT id, country, industries AS i, list_distinct([status, stored]) AS s, tier, lower(coalesce(buyer, '') || ' ' || coalesce(platform, '')) AS said FROM b), {_WANTS}, profile AS (SELECT DISTINCT c, i, s, t, k FROM want),
+met AS (SELECT p.c, p.i, p.s, p.t, p.k, n.id FROM profile p JOIN notice n ON n.country <> 'NATION_7' AND (len(p.c) = 0 OR list_contains(p.c, n.country)) AND (len(p.i) = 0 OR list_has_any(p.i, n.i)) AND (len(p.s) = 0 OR list_has_any(p.s, n.s)) AND (len(p.t) = 0 OR list_contains(p.t, n.tier))
+AND (len(p.k) = 0 OR len(list_filter(p.k, lambda x: contains(n.said, lower(x)))) > 0)), sums AS (SELECT c, i, s, t, k, count(*) AS notices, min(id) AS first_id, max(id) AS last_id FROM met GROUP BY ALL)
+SELECT c_custkey, notices, first_id, last_id FROM want w JOIN sums a ON w.c = a.c AND w.i = a.i AND w.s = a.s AND w.t = a.t AND w.k = a.k""")
+def subscriber_matches(spark, d):
+    """How many notices each subscriber's preference asks for, with the first and the last; six conditions, empty is any."""
+    people = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey")
+    given = lambda values: F.array(*[F.lit(v) if isinstance(v, str) else v for v in values])
+    none = F.array().cast("array<string>")
+    wants = people.select(
+        k, F.when(k % 4 == 0, none).otherwise(given([F.col("n_name"), "NATION_3"])).alias("countries"),
+        F.when(k % 3 == 0, none).when(F.col("c_mktsegment") == "BUILDING", given(["roads"])).otherwise(given(["power", "water"])).alias("industries"),
+        F.when(k % 5 == 0, none).otherwise(given(["open", "clarification", "awarded"])).alias("statuses"), F.when(k % 2 == 0, none).otherwise(given(["flagship", "significant"])).alias("tiers"),
+        F.when(k % 6 == 1, given(["#00000001", "BUILD"])).when(k % 6 == 2, given(["9"])).otherwise(none).alias("keywords"),
+    )
+    wants = with_profile(wants)
+    notices = board._board(spark, d).withColumn("statuses", F.array_distinct(F.array("status", "stored")))
+    met = matching_notices(notices, wants, "id", "country", "industries", "statuses", "tier", F.concat_ws(" ", "buyer", "platform"), ["NATION_7"])
+    sums = met.groupBy("profile").agg(F.count("*").alias("notices"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return wants.join(sums, "profile").select("c_custkey", "notices", "first_id", "last_id")
