@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kelpie.functions.text import folded
+from kelpie.functions.text import folded, upper_each
 
 #: Factors of the unit words, and the currencies of marks before or after a figure (fixed values).
 UNITS = {"thousand": 1e3, "million": 1e6, "billion": 1e9, "mil": 1e3, "millones": 1e6}
@@ -99,7 +99,7 @@ def without_phase(title: Column) -> Column:
 
 def word_haystack(text: Column) -> Column:
     """Upper-cased words between single blanks, with one at either end, so that whole words are found as ` WORD `."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.upper(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(upper_each(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
 def csv_field(text: Column) -> Column:

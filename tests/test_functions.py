@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kelpie.functions import access, dates, free_text, visits
-from kelpie.functions.text import entities_decoded, search_match
+from kelpie.functions.text import entities_decoded, search_match, upper_each
 from kelpie.functions.unicode import search_folded, without_marks
 
 
@@ -18,6 +18,12 @@ def test_folding(spark):
     assert values(spark, search_folded(F.col("v")), ["ＩＴＳ配套１２", "Ｃafé", None]) == ["its配套12", "cafe", None]
 
 
+def test_upper_case_of_one_character_each(spark):
+    texts = ["maß ﬁn", "ᾼᾳ ŉ ΐß", "Straße éσς", "abc", "", None]
+    assert values(spark, upper_each(F.col("v")), texts) == ["MAẞ ﬁN", "ᾼᾼ ŉ ΐẞ", "STRAẞE ÉΣΣ", "ABC", "", None]
+    assert values(spark, free_text.word_haystack(F.col("v")), ["groß, maß"]) == [" GROẞ MAẞ "]
+
+
 def test_search_words(spark):
     texts = ["send an E-mail now", "a,b", "Línea de Metro", "metropolis", None]
     assert values(spark, search_match(F.col("v"), "e-mail"), texts) == [True, False, False, False, False]
