@@ -3,7 +3,11 @@
 Strings are dealt to blocks of about BLOCK_BYTES; a task builds a block's automaton as arrays (a row of next states for every
 state), so the driver never sees the strings. Texts are cut into segments that overlap by the longest string, and all segments
 of a batch take a step at once. A pass over the texts carries PASS_BLOCKS blocks, which bounds what is broadcast at about
-PASS_BLOCKS * BLOCK_BYTES * 256 bytes; further blocks are further passes. Meant for known sets, not for corpora on both sides.
+PASS_BLOCKS * BLOCK_BYTES * 256 bytes.
+
+More strings than one pass carries are looked up by length instead: of every window of a text that has the length of some
+string, those that pass a Bloom filter of all strings meet the strings themselves in a join. So a text is read once for each
+length, whatever the number of strings. Only where strings have over LENGTHS lengths, further blocks are further passes.
 """
 
 from __future__ import annotations
@@ -25,6 +29,11 @@ PASS_BLOCKS = 8
 HEAD = 256
 SEGMENT = 1024
 BATCH_BYTES = 4 << 20
+#: Lengths of strings for which texts are read by windows, and bytes of texts that are read so at once.
+LENGTHS = 64
+WINDOW_BYTES = 1 << 20
+#: Bits of the filter for each string, its probes, bits of a part of it and of all parts at most; a fuller one lets more pass.
+FILTER_BITS, PROBES, PART_BITS, MOST_BITS = 16, 3, 1 << 22, 1 << 29
 _BUILT = "block int, k int, string_ string, automaton binary"
 
 
@@ -187,11 +196,123 @@ def _scan(blocks, names: list[str]):
     return run
 
 
+_VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256).astype(np.uint64)
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+
+
+class _Spans:
+    """Hashes of spans of some bytes, each by two places of a running sum."""
+
+    def __init__(self, raw: np.ndarray):
+        powers = [np.full(len(raw) + 1, x, np.uint64) for x in (_STEP, _BACK)]
+        for p in powers:
+            p[0] = 1
+        up, self.down = (np.multiply.accumulate(p) for p in powers)
+        self.sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[raw] * up[:-1], dtype=np.uint64)])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (self.sum[end] - self.sum[start]) * self.down[start] + (end - start).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(29))
+
+
+def _probe(h: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The k-th place of a filter that strings of these hashes set."""
+    return ((h + np.uint64(k) * ((h >> np.uint64(32)) | np.uint64(1))) % np.uint64(bits)).astype(np.int64)
+
+
+def _places(bits: int):
+    def run(batches):
+        for batch in batches:
+            raw, off = _utf8(batch.column(0))
+            h = _Spans(raw).of(off[:-1], off[1:])
+            at = np.concatenate([_probe(h, k, bits) for k in range(PROBES)])
+            yield pa.RecordBatch.from_arrays([pa.array((at // PART_BITS).astype(np.int32)), pa.array((at % PART_BITS).astype(np.int32))], ["part", "at"])
+
+    return run
+
+
+def _part(rows: pa.Table) -> pa.Table:
+    flag = np.zeros(PART_BITS, np.uint8)
+    flag[rows["at"].to_numpy()] = 1
+    return pa.table({"part": rows["part"].slice(0, 1), "bits": pa.array([np.packbits(flag, bitorder="little").tobytes()], pa.binary())})
+
+
+def _passing(raw: np.ndarray, off: np.ndarray, lengths: list[int], bits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, start, end) of the windows that may be known strings, each string once a text."""
+    spans, lead = _Spans(raw), np.append((raw & 0xC0) != 0x80, True)
+    left = np.repeat(off[1:], np.diff(off)) - np.arange(len(raw))  # bytes from a place to the end of its text
+    starts, ends, hashes = [], [], []
+    for n in lengths:
+        start = np.flatnonzero((left >= n) & lead[:-1])
+        start = start[lead[start + n]]
+        h = spans.of(start, start + n)
+        for k in range(PROBES):
+            at = _probe(h, k, 8 * len(bits))
+            ok = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            start, h = start[ok], h[ok]
+        starts.append(start)
+        ends.append(start + n)
+        hashes.append(h)
+    start, end, h = (np.concatenate(x) for x in (starts, ends, hashes))
+    text = np.searchsorted(off, start, "right") - 1
+    order = np.lexsort((h, text))
+    text, start, end, h = text[order], start[order], end[order], h[order]
+    again = np.zeros(len(text), bool)
+    again[1:] = (text[1:] == text[:-1]) & (h[1:] == h[:-1])
+    if again.any():  # equal hashes are compared byte for byte
+        group = np.cumsum(~again)
+        twins = np.isin(group, group[again])
+        seen: set[tuple[int, bytes]] = set()
+        for k in np.flatnonzero(twins).tolist():
+            key = (int(text[k]), raw[start[k] : end[k]].tobytes())
+            again[k] = key in seen
+            seen.add(key)
+    return text[~again], start[~again], end[~again]
+
+
+def _windows(filter_, lengths: list[int], names: list[str]):
+    """Rows (keys, text) to (keys, string) of the windows that pass the filter."""
+
+    def run(batches):
+        bits = np.concatenate([np.frombuffer(x, np.uint8) for x in filter_.value])
+        for batch in batches:
+            raw, off = _utf8(batch.column(len(names)))
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(off, off[i] + WINDOW_BYTES, "right")) - 1)
+                part = raw[off[i] : off[j]]
+                text, start, end = _passing(part, off[i : j + 1] - off[i], lengths, bits)
+                if len(text):
+                    size = end - start
+                    upto = np.cumsum(size)
+                    data = part[np.arange(upto[-1]) + np.repeat(start - upto + size, size)]
+                    strings = pa.Array.from_buffers(pa.large_string(), len(text), [None, pa.py_buffer(np.append(0, upto).tobytes()), pa.py_buffer(data.tobytes())])
+                    rows = batch.take(pa.array(text + i))
+                    yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], strings.cast(pa.string())], [*names, "string_"])
+                i = j
+
+    return run
+
+
+def _by_windows(out: DataFrame, keys: list[str], wanted: DataFrame, lengths: list[int]) -> DataFrame:
+    spark, distinct = out.sparkSession, wanted.select("string_").distinct()
+    parts = max(1, min(MOST_BITS, distinct.count() * FILTER_BITS) // PART_BITS + 1)
+    places = distinct.mapInArrow(_places(parts * PART_BITS), "part int, at int").distinct()
+    empty = bytes(PART_BITS // 8)
+    built = {r["part"]: bytes(r["bits"]) for r in places.groupBy("part").applyInArrow(_part, "part int, bits binary").toLocalIterator()}
+    filter_ = spark.sparkContext.broadcast([built.get(k, empty) for k in range(parts)])  # two bytes a string, MOST_BITS at most
+    found = out.mapInArrow(_windows(filter_, lengths, keys), out.select(*keys).schema.add("string_", "string"))
+    return found.join(wanted, "string_").drop("string_")
+
+
 def contained(texts: DataFrame, keys: list[str], text: Column, known: DataFrame, string: Column, carry: list[Column]) -> DataFrame:
     """(keys, carry) for each row of texts and each row of known whose string stands in the text, byte for byte.
 
     Null and empty strings stand nowhere; null texts hold none. Rows that repeat in texts or known repeat in the result.
-    Either side may be empty. The work is one pass over the texts for every PASS_BLOCKS blocks of strings.
+    Either side may be empty. The work is one pass over the texts, and one look at each place for every length of string where
+    these are more than one pass carries; see the module.
     """
     wanted = known.select(*carry, string.cast("string").alias("string_")).filter("string_ <> ''")
     total = wanted.agg(F.sum(F.octet_length("string_"))).first()[0]
@@ -199,6 +320,10 @@ def contained(texts: DataFrame, keys: list[str], text: Column, known: DataFrame,
     if total is None:
         return out.join(wanted, F.lit(False)).select(*keys, *[c for c in wanted.columns if c != "string_"])
     n = -(-total // BLOCK_BYTES)
+    if n > PASS_BLOCKS:
+        lengths = [r[0] for r in wanted.select(F.octet_length("string_")).distinct().limit(LENGTHS + 1).collect()]
+        if len(lengths) <= LENGTHS:
+            return _by_windows(out, keys, wanted, sorted(lengths))
     dealt = wanted.select(F.pmod(F.xxhash64("string_"), F.lit(n)).cast("int").alias("block"), "string_").distinct()
     built = stored(dealt.groupBy("block").applyInArrow(_built, _BUILT), "automata")
     spark, passes = texts.sparkSession, []
@@ -238,6 +363,7 @@ def identified(files: DataFrame, keys: list[str], name: str, text: str, known: D
     """
     numbers = known.select(F.upper(number).alias("n_")).filter("n_ <> ''").distinct()
     by_name = longest_contained(files, keys, F.upper(name), numbers, F.col("n_")).withColumn("source", F.lit("name"))
+    by_name = stored(by_name, "numbers-in-names")
     folded = numbers.withColumn("f_", key_fold(F.col("n_"))).filter(F.char_length("f_") >= least)
     left = files.join(by_name, keys, "left_anti")
     squashed = contained(left, keys, key_fold(F.col(name)), folded, F.col("f_"), [F.col("n_"), F.col("f_")])
@@ -245,7 +371,9 @@ def identified(files: DataFrame, keys: list[str], name: str, text: str, known: D
     outer = F.filter("all_", lambda x: ~F.exists("all_", lambda y: (F.length(y["f_"]) > F.length(x["f_"])) & F.contains(y["f_"], x["f_"])))
     squashed = squashed.select(*keys, F.array_sort(F.transform(outer, lambda x: x["n_"])).alias("found"))
     squashed = squashed.select(*keys, F.when(F.size("found") == 1, F.element_at("found", 1)).alias("number"), "found", F.lit("squashed name").alias("source"))
+    squashed = stored(squashed, "squashed-names")
     sure = squashed.filter("number is not null")
     by_text = longest_contained(left.join(sure, keys, "left_anti"), keys, F.upper(text), numbers, F.col("n_")).withColumn("source", F.lit("text"))
+    by_text = stored(by_text, "numbers-in-texts")
     unsure = squashed.filter("number is null").join(by_text, keys, "left_anti")
     return by_name.unionByName(sure).unionByName(by_text).unionByName(unsure)

@@ -12,11 +12,14 @@ from kelpie.operators.containment import contained, outermost
 
 def numbers_inside(files: DataFrame, keys: list[str], name: str, known: DataFrame, number: str, least: int) -> DataFrame:
     """(keys, number, found): the known number inside a name, separators apart. A number inside a longer one that is found
-    too does not count; with several left, number is null and found tells how many."""
+    too does not count; with several left, number is null and found tells how many. Files whose names are equal without
+    separators are read once; keys are unique in files."""
     numbers = known.select(key_fold(F.col(number)).alias("n_")).filter(F.length("n_") >= least).distinct()
-    hits = contained(files, keys, key_fold(F.col(name)), numbers, F.col("n_"), [F.col("n_")])
-    group = hits.groupBy(*keys).agg(F.collect_set("n_").alias("all_"))
-    return group.select(*keys, outermost(F.col("all_")).alias("b_")).select(*keys, F.when(F.size("b_") == 1, F.element_at("b_", 1)).alias("number"), F.size("b_").cast("long").alias("found"))
+    named = files.select(*keys, key_fold(F.col(name)).alias("name_"))
+    hits = contained(named.select("name_").distinct(), ["name_"], F.col("name_"), numbers, F.col("n_"), [F.col("n_")])
+    group = hits.groupBy("name_").agg(F.collect_set("n_").alias("all_")).select("name_", outermost(F.col("all_")).alias("b_"))
+    each = group.select("name_", F.when(F.size("b_") == 1, F.element_at("b_", 1)).alias("number"), F.size("b_").cast("long").alias("found"))
+    return named.join(each, "name_").select(*keys, "number", "found")
 
 
 def chosen_by_tokens(candidates: DataFrame, group: str, id_: str, name: str, texts: DataFrame, text: str, least: int) -> DataFrame:

@@ -45,6 +45,38 @@ def test_contained_in_spark(spark, monkeypatch):
         assert containment.contained(a, ["id"], F.col("string_"), b, F.col("s"), [F.col("name")]).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_windows_equal_search(seed):
+    r = random.Random(seed)
+    alphabet = r.choice(["a", "ab", "aß字𝄞 "])
+    some = lambda n: "".join(r.choice(alphabet) for _ in range(n))
+    strings = sorted({some(r.randint(1, 9)).encode() for _ in range(r.randint(1, 30))})
+    all_texts = [(some(r.randint(0, 60))).encode() + r.choice([b"", *strings]) for _ in range(20)] + [b""]
+    bits = np.zeros(1 << 10, np.uint8)  # a small filter lets others pass
+    h = containment._Spans(np.frombuffer(b"".join(strings), np.uint8)).of(*(buffers(strings)[1][k:][: len(strings)] for k in (0, 1)))
+    for k in range(containment.PROBES):
+        at = containment._probe(h, k, 8 * len(bits))
+        np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    raw, off = buffers(all_texts)
+    text, start, end = containment._passing(raw, off, sorted({len(s) for s in strings}), bits)
+    found = [(t, raw[a:b].tobytes()) for t, a, b in zip(text.tolist(), start.tolist(), end.tolist(), strict=True)]
+    assert len(found) == len(set(found))
+    assert sorted((t, strings.index(s)) for t, s in found if s in strings) == plain(all_texts, strings)
+
+
+@pytest.mark.parametrize("lengths", [0, 64])
+def test_many_strings_in_one_pass(spark, monkeypatch, lengths):
+    monkeypatch.setattr(containment, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(containment, "LENGTHS", lengths)
+    monkeypatch.setattr(containment, "PASS_BLOCKS", 8)
+    known = spark.range(100).select(F.concat(F.lit("n"), "id").alias("s"))
+    files = spark.createDataFrame([(1, "doc n77 and n77"), (2, "n5"), (3, "n100"), (4, "x")], "id int, name string")
+    found = containment.contained(files, ["id"], F.col("name"), known, F.col("s"), [F.col("s").alias("n")])
+    assert sorted(map(tuple, found.collect())) == [(1, "n7"), (1, "n77"), (2, "n5"), (3, "n1"), (3, "n10")]
+    if lengths:  # one read of the texts, not one for each eight blocks
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_longest_and_identified(spark):
     known = spark.createDataFrame([("LP-006-2026",), ("LP-006-20",), ("CVC LP 008 2026",), ("AB-000000000001",), ("AB-000000000002",)], "number string")
     files = [
