@@ -102,7 +102,14 @@ def run_once(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    job = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    # every part of the state costs a task and its stores in each batch, however little it holds
+    conf, parts = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(parts)
+    conf.set(parts, min(int(before), 2 * stream.sparkSession.sparkContext.defaultParallelism))
+    try:
+        job = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    finally:
+        conf.set(parts, before)
     try:
         job.awaitTermination()
     finally:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from kelpie.streaming import events as ops
@@ -48,3 +50,42 @@ def test_limits_over_files_out_of_order(spark, tmp_path):
     assert {x.event_id: x.limited for x in got.collect()} == plain(rows, 60, 3)
     assert got.filter(F.col("limited")).count() > 20
     assert left[-1] == 0
+
+
+class _Handle:
+    """State of one key; a timer that goes off is listed until its handler has ended."""
+
+    def __init__(self):
+        self.timers, self.registered, self.lists = set(), 0, {}
+
+    def getListState(self, name, schema):
+        held = self.lists.setdefault(name, [])
+        return type("L", (), {"appendList": lambda _, v: held.extend(v), "get": lambda _: iter(list(held)), "clear": lambda _: held.clear(), "put": lambda _, v: held.__setitem__(slice(None), v)})()
+
+    def listTimers(self):
+        return iter(list(self.timers))
+
+    def registerTimer(self, at):
+        self.registered += 1
+        self.timers.add(at)
+
+
+def test_one_timer_for_many_calls():
+    handle, seen = _Handle(), []
+    state = keyed.SlidingLimit(3600, 3)
+    state.init(handle)
+    calls = pd.DataFrame({"micros": [k * 90_000_000 for k in range(200)], "event_id": range(200)})
+
+    def go_off(mark):
+        values = SimpleNamespace(getCurrentWatermarkInMs=lambda: mark)
+        while due := [t for t in handle.timers if t <= mark]:
+            for out in state.handleExpiredTimer((1,), values, SimpleNamespace(getExpiryTimeInMs=lambda: min(due))):  # noqa: B023
+                seen.extend(out["event_id"].tolist())
+            handle.timers.remove(min(due))
+
+    list(state.handleInputRows((1,), iter([calls]), None))
+    assert handle.registered == 1  # not one for each call
+    go_off(100 * 90_000)
+    assert seen == list(range(100)) and len(handle.timers) == 1
+    go_off(1000 * 90_000)
+    assert seen == list(range(200)) and not handle.timers and not any(handle.lists.values())
