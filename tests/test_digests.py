@@ -45,3 +45,18 @@ def test_one_mail_for_each_slot(spark, tmp_path):
     expected = {(k, reader, at): sum(k == kind and at - timedelta(hours=HOURS) <= t < at for kind, _, t in notices) for k, reader, at in slots}
     assert got == sorted((*key, n) for key, n in expected.items())
     assert any(n == 0 for n in expected.values())
+
+
+def test_readers_stay_out_of_the_join_with_notices(spark):
+    start = datetime(2026, 3, 1)
+    slots = spark.createDataFrame([("a", r, start + timedelta(days=1)) for r in range(40)], "kind string, reader int, slot timestamp")
+    notices = spark.createDataFrame([("a", k, start + timedelta(minutes=k)) for k in range(30)], "kind string, notice int, published timestamp")
+    mails = digest_mails(slots, notices, ["kind"], HOURS, LATE)
+    assert sorted((x.reader, x.notices) for x in mails.collect()) == [(r, 30) for r in range(40)]
+    nodes, ranged = [mails._jdf.queryExecution().analyzed()], []
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Join" and "published" in node.toString().split("\n")[0]:
+            ranged.append(node.output().toString())
+    assert len(ranged) == 1 and "reader" not in ranged[0]
