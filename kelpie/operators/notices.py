@@ -31,14 +31,16 @@ def owned(df: DataFrame, key: list[str], order: list[Column], owner: str, stored
 
 
 def combined_awards(parts: DataFrame, key: str, supplier: str, amount: str, currency: str, day: str) -> DataFrame:
-    """One row per award: suppliers told apart without case, last day, and the amount where the currency is one."""
+    """One row per award: suppliers told apart without case, last day, and the amount where the currency is one.
+    Only suppliers are counted as distinct values: a second such count would send every row three times."""
     named = parts.withColumn("s_", F.lower(F.trim(supplier)))
     return named.groupBy(key).agg(
         F.countDistinct("s_").alias("suppliers"),
         F.max(day).alias("awarded"),
-        F.countDistinct(currency).alias("currencies"),
+        F.min(currency).alias("least_"),
+        F.max(currency).alias("most_"),
         F.sum(F.col(amount).cast("decimal(20,2)")).alias("sum_"),
-    ).withColumn("amount", F.when(F.col("currencies") <= 1, F.col("sum_").cast("double"))).drop("sum_", "currencies")
+    ).withColumn("amount", F.when(F.coalesce(F.col("least_") == F.col("most_"), F.lit(True)), F.col("sum_").cast("double"))).drop("sum_", "least_", "most_")
 
 
 def filled(stored: DataFrame, found: DataFrame, key: str, fields: list[str], allowed: Column) -> DataFrame:
