@@ -26,7 +26,8 @@ from kelpie.llm.common import ALNUM, LOWER, discard, finished_shuffles_go, mater
 
 HEAD, BUCKETS = 28_672, 4096
 SIDE, WIDTH = 3, 16
-STRIDE, ROUNDS = 16, 2
+#: Each round learns from every STRIDE-th place, from another one on: together the rounds learn from all.
+STRIDE, ROUNDS = 2, 2
 RATE, BATCH = 0.3, 1024
 SUFFIX = 3
 CHUNK_BYTES = 256 << 10

@@ -106,3 +106,20 @@ def test_words_of_one_document_alone_are_counted(spark):
     rows = [(1, "the the the new new old"), (2, "the old thing thing"), (3, "the the thing other"), (4, "the one one one"), (5, "the one")]
     got = {x.doc_id: x.n_unseen for x in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), carry=["doc_id"], head=1).collect()}
     assert got == {1: 2, 2: 0, 3: 1, 4: 0, 5: 0}
+
+
+def test_the_rounds_learn_from_every_place(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from kelpie.llm import language_model as lm
+
+    _, net = small_net()
+    seen: list[int] = []
+    monkeypatch.setattr(lm.Window, "step", lambda self, leaves, places, *_: seen.extend(places.tolist()))
+    texts = [np.arange(n, dtype="<u2") % 25 for n in (1, 2, 7, 40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary())], ["leaves"])
+    for turn in range(lm.ROUNDS):
+        list(lm._train(SimpleNamespace(value=(net.tree, net.rows)), turn * lm.STRIDE // lm.ROUNDS, lm.STRIDE)([batch]))
+    assert sorted(seen) == lm.padded([t.astype(np.int64) for t in texts], net.edge)[1].tolist()
