@@ -1,9 +1,10 @@
 """Rows of one block whose word sets are nearly equal, and groups of rows that may be one procurement.
 
-Equal sets of a block are one node. Words are ordered rare before frequent within the block; two sets as similar as asked
-share a word among the first n - ceil(share * n) + 1 of each. Such words are buckets. Inside a bucket a pair is dropped
-unread where sizes, the words that can still follow the shared one on either side, or a parity sketch of 64 bits (the bits
-in which two sketches differ never exceed the words in which the sets differ) rule it out; what remains is compared exactly.
+Equal sets of a block are one node. Words are ordered rare before frequent; two sets that share o words at least have their
+first l common words among the first n - o + l of each. A bucket is such l words: three, or two or one where three of a set
+would be too many, so that buckets stay small though single words are frequent. A pair meets in the bucket of its first
+common words alone. There it is dropped where sizes or a parity sketch of 64 bits (the bits in which two sketches differ
+never exceed the words in which the sets differ) rule it out; what remains is compared exactly, in the same place.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from kelpie.session import stored
 
 #: Nodes of a part of a bucket. A larger bucket is dealt in parts, and each two parts are a key of their own.
 PART_NODES = 1_000
+#: Buckets of a set; one with more pairs or triples of leading words takes the next smaller kind.
+MOST_BUCKETS = 24
+#: Up to so many different words are put in order by one list of them all, more by a join.
+LISTED_WORDS = 256
 
 
 def word_nodes(df: DataFrame, block: list[str], words: str, id_: str, asked: str) -> DataFrame:
@@ -24,33 +29,73 @@ def word_nodes(df: DataFrame, block: list[str], words: str, id_: str, asked: str
     named = df.select(*block, id_, asked, F.array_sort(F.array_distinct(F.array_compact(F.coalesce(words, F.array().cast("array<string>"))))).alias("words"))
     named = named.dropna(subset=block).filter(F.size("words") > 0)
     named = named.withColumn("node", F.md5(F.to_json(F.struct(*block, "words"))))
-    once = named.groupBy("node").agg(*[F.first(c).alias(c) for c in [*block, "words"]], F.count("*").alias("rows"), F.count_if(asked).alias("asked"), F.min(id_).alias("first_id"))
+    once = named.groupBy("node", *block, "words").agg(F.count("*").alias("rows"), F.count_if(asked).alias("asked"), F.min(id_).alias("first_id"))
     sketch = "aggregate(words, 0L, (a, w) -> a ^ shiftleft(1L, cast(pmod(xxhash64(w), 64) as int)))"
     return once.withColumns({"n": F.size("words"), "sketch": F.expr(sketch)})
 
 
-def near_pairs(nodes: DataFrame, block: list[str], percent: int, part_nodes: int = PART_NODES) -> DataFrame:
+def _ordered(nodes: DataFrame) -> DataFrame:
+    """nodes with order: the words, those of the fewest nodes first."""
+    each = nodes.select("node", F.explode("words").alias("word"))
+    counts = each.groupBy("word").agg(F.count("*").alias("held"))
+    listed = counts.limit(LISTED_WORDS + 1).collect()
+    if len(listed) <= LISTED_WORDS:
+        every = F.array(*[F.lit(w) for _, w in sorted((r.held, r.word) for r in listed)]).cast("array<string>")
+        return nodes.withColumn("order", F.array_intersect(every, "words"))
+    order = each.join(counts, "word").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("held", "word"))).alias("order"))
+    return nodes.join(order.select("node", F.col("order.word").alias("order")), "node")
+
+
+def _level(n: str, percent: int) -> str:
+    """How many words make a bucket of a set of n, as SQL: no more than a near set of any size must share with it."""
+    shared = f"(({percent} * {n} + 99) div 100)"
+    three, two = (f"({n} - {shared} + {k})" for k in (3, 2))
+    return (
+        f"CASE WHEN {shared} >= 3 AND {three} * ({three} - 1) * ({three} - 2) <= {6 * MOST_BUCKETS} THEN 3"
+        f" WHEN {shared} >= 2 AND {two} * ({two} - 1) <= {2 * MOST_BUCKETS} THEN 2 ELSE 1 END"
+    )
+
+
+def _buckets(block: list[str], percent: int) -> str:
+    """The buckets of a set, as SQL: those of its own level, and of the levels at which near sets of other sizes look."""
+    key = lambda level, *words: f"xxhash64({', '.join([*block, str(level), *words])})"
+    lead = lambda level: f"slice(order, 1, n - (({percent} * n + 99) div 100) + {level})"
+    after = lambda level, place: f"slice({lead(level)}, {place}, n + 1)"
+    made = {
+        1: f"transform({lead(1)}, x -> {key(1, 'x')})",
+        2: f"flatten(transform({lead(2)}, (x, i) -> transform({after(2, 'i + 2')}, y -> {key(2, 'x', 'y')})))",
+        3: f"flatten(transform({lead(3)}, (x, i) -> flatten(transform({after(3, 'i + 2')}, (y, j) -> transform({after(3, 'i + j + 3')}, z -> {key(3, 'x', 'y', 'z')})))))",
+    }
+    levels = f"array_distinct(transform(sequence(({percent} * n + 99) div 100, (100 * n) div {percent}), m -> least({_level('n', percent)}, {_level('m', percent)})))"
+    return f"array_distinct(flatten(transform({levels}, l -> CASE l WHEN 3 THEN {made[3]} WHEN 2 THEN {made[2]} ELSE {made[1]} END)))"
+
+
+def near_pairs(nodes: DataFrame, block: list[str], percent: int, part_nodes: int = PART_NODES, carry: list[str] | None = None) -> DataFrame:
     """(u, v): all pairs of different nodes of a block with |A and B| / |A or B| >= percent / 100, of which one at least is
-    asked about; u < v."""
-    each = nodes.select(*block, "node", F.explode("words").alias("word"))
-    counts = each.groupBy(*block, "word").agg(F.count("*").alias("held"))
-    ordered = each.join(counts, [*block, "word"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("held", "word"))).alias("order"))
-    lead = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
-    starts = nodes.select(*block, "node", "n", "sketch", (F.col("asked") > 0).alias("wanted")).join(ordered.select("node", F.col("order.word").alias("order")), "node")
-    starts = starts.select(*block, "node", "n", "sketch", "wanted", F.posexplode(F.slice("order", F.lit(1), lead)).alias("at", "word"))
-
-    sizes = starts.groupBy(*block, "word").agg(F.count("*").alias("size"), F.max("wanted").alias("any")).filter("size > 1 and any").drop("any")
-    dealt = starts.join(sizes, [*block, "word"]).withColumn("parts", F.expr(f"cast(ceil(size / {part_nodes}) as int)"))
+    asked about; u < v, each once. Columns in carry are given of both, as u_<name> and v_<name>."""
+    carry, named = carry or [], [f"block{k}" for k in range(len(block))]
+    sets = _ordered(nodes).select(*[F.col(c).alias(b) for c, b in zip(block, named, strict=True)], F.unhex("node").alias("node"), "n", "sketch", (F.col("asked") > 0).alias("wanted"), "order", *[F.col(c).alias(f"own_{c}") for c in carry])
+    starts = sets.withColumn("key", F.explode(F.expr(_buckets(named, percent))))
+    large = starts.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > part_nodes)  # one row for so many buckets at least
+    dealt = starts.join(F.broadcast(large), "key", "left").withColumn("parts", F.expr(f"coalesce(cast(ceil(size / {part_nodes}) as int), 1)")).drop("size")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
-    a, b = dealt.filter("part = low").alias("a"), dealt.filter("part = high").alias("b")
-    keys = [*block, "word", "low", "high"]
-    met = a.join(b, _all([F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]) & _may_be_near(percent))
-    met = met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-
-    x, y = nodes.select(F.col("node").alias("u"), F.col("words").alias("x")), nodes.select(F.col("node").alias("v"), F.col("words").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return met.join(x, "u").join(y, "v").filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("u", "v")
+    dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("parts", "other")
+
+    # both sides of the join are the same rows, so that they are sent once; what tells the sides apart names both
+    a, b = dealt.alias("a"), dealt.alias("b")
+    common = F.array_intersect("a.order", "b.order")
+    both = F.size(common)
+    level = F.least(F.expr(_level("a.n", percent)), F.expr(_level("b.n", percent)))
+    own = [F.col(f"a.{c}") for c in named]
+    first = [F.get(common, F.lit(k)) for k in range(3)]
+    here = F.when(level == 3, F.xxhash64(*own, F.lit(3), *first)).when(level == 2, F.xxhash64(*own, F.lit(2), *first[:2])).otherwise(F.xxhash64(*own, F.lit(1), first[0]))
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ["key", "low", "high", *named]]
+    near = 100 * both >= percent * (F.col("a.n") + F.col("b.n") - both)
+    met = a.join(b, _all([*same, _may_be_near(percent), near, here == F.col("a.key")]))  # what costs most comes last
+    x, y = (F.struct(F.col(f"{s}.node").alias("node"), *[F.col(f"{s}.own_{c}").alias(c) for c in carry]) for s in "ab")
+    forth = F.col("a.node") < F.col("b.node")
+    ends = met.select(F.when(forth, x).otherwise(y).alias("x"), F.when(forth, y).otherwise(x).alias("y"))
+    return ends.select(F.lower(F.hex("x.node")).alias("u"), F.lower(F.hex("y.node")).alias("v"), *[F.col(f"{s}.{c}").alias(f"{e}_{c}") for s, e in ("xu", "yv") for c in carry])
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -62,27 +107,23 @@ def _all(conditions: list[Column]) -> Column:
 
 def _may_be_near(percent: int) -> Column:
     n, m = F.col("a.n"), F.col("b.n")
-    once = (F.col("a.low") != F.col("a.high")) | (F.col("a.node") < F.col("b.node"))  # parts of two keys meet once anyway
-    after = 1 + F.least(n - 1 - F.col("a.at"), m - 1 - F.col("b.at"))
+    sides = (F.col("a.part") - F.col("a.low") + F.col("b.high") - F.col("b.part")) == 0  # a is of the lower part, b of the higher one
+    once = (F.col("a.low") != F.col("b.high")) | (F.col("a.node") < F.col("b.node"))  # two parts meet once anyway
     differ = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
-    return _all([
-        once, F.col("a.wanted") | F.col("b.wanted"), 100 * n >= percent * m, 100 * m >= percent * n,
-        after * (100 + percent) >= percent * (n + m), differ * (100 + percent) <= (100 - percent) * (n + m),
-    ])
+    return _all([sides, differ * (100 + percent) <= (100 - percent) * (n + m), 100 * n >= percent * m, 100 * m >= percent * n, once, F.col("a.wanted") | F.col("b.wanted")])
 
 
 def _by_words(df: DataFrame, block: list[str], words: str, id_: str, asked: str, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
     """(ids with such a link, links between ids that join the same groups)."""
     nodes = stored(word_nodes(df, block, words, id_, asked), f"{name}-nodes")
-    pairs = stored(near_pairs(nodes, block, percent), f"{name}-pairs")
-    ends = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    flags = ends.join(nodes.select(F.col("node").alias("v"), "asked"), "v").groupBy("u").agg(F.max(F.col("asked") > 0).alias("by_asked"))
+    pairs = stored(near_pairs(nodes, block, percent, carry=["asked", "first_id"]), f"{name}-pairs")
+    ends = pairs.select("u", F.col("v_asked").alias("by")).union(pairs.select("v", F.col("u_asked").alias("by")))
+    flags = ends.groupBy("u").agg(F.max(F.col("by") > 0).alias("by_asked"))
     known = nodes.join(flags.withColumnRenamed("u", "node"), "node", "left").withColumns({"met": F.col("by_asked").isNotNull(), "by_asked": F.coalesce("by_asked", F.lit(False))})
     row = df.withColumn("words_", F.array_sort(F.array_distinct(F.array_compact(words)))).withColumn("node", F.md5(F.to_json(F.struct(*block, F.col("words_").alias("words")))))
     row = row.select(id_, F.col(asked).alias("mine"), "node").join(known.select("node", "rows", "asked", "met", "by_asked", "first_id"), "node")
     linked = row.filter(F.when(F.col("mine"), (F.col("rows") > 1) | F.col("met")).otherwise((F.col("asked") > 0) | F.col("by_asked")))
-    first = nodes.select("node", "first_id")
-    between = pairs.join(first.select(F.col("node").alias("u"), F.col("first_id").alias("a")), "u").join(first.select(F.col("node").alias("v"), F.col("first_id").alias("b")), "v").select("a", "b")
+    between = pairs.select(F.col("u_first_id").alias("a"), F.col("v_first_id").alias("b"))
     # rows of a node hang together through a row asked about, of their own node or of another
     within = row.filter(F.col("met") | (F.col("asked") > 0)).select(F.col(id_).alias("a"), F.col("first_id").alias("b"))
     return linked.select(id_).distinct(), between.union(within)

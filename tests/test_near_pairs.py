@@ -7,6 +7,7 @@ from itertools import combinations
 
 import pytest
 
+from kelpie.operators import near_pairs as module
 from kelpie.operators.components import groups
 from kelpie.operators.near_pairs import near_pairs, procurement_audit, word_nodes
 from kelpie.session import stored
@@ -66,6 +67,41 @@ def test_pairs_are_those_of_all_pairs(spark, percent, part):
     assert {(r.buyer, tuple(r.words)) for r in kept.values()} == plain
 
 
+@pytest.mark.parametrize("percent", [50, 70])
+def test_pairs_of_words_that_are_put_in_order_by_a_join(spark, monkeypatch, percent):
+    rows = made(percent, 200, 40, ["p", "q"])
+    nodes = stored(word_nodes(spark.createDataFrame(rows, SCHEMA), ["buyer"], "words", "id", "recent"), "test-nodes")
+    listed = sorted(tuple(r) for r in near_pairs(nodes, ["buyer"], percent, carry=["first_id"]).collect())
+    monkeypatch.setattr(module, "LISTED_WORDS", 5)
+    kept = {r.node: r.first_id for r in nodes.collect()}
+    joined_ = sorted(tuple(r) for r in near_pairs(nodes, ["buyer"], percent, part_nodes=4, carry=["first_id"]).collect())
+    assert listed and joined_ == listed and all((a, b) == (kept[u], kept[v]) for u, v, a, b in listed)
+
+
+def rows_sent(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    empty, none = sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, empty, none)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_frequent_words_do_not_multiply_the_rows_sent(spark):
+    """4,000 sets over 24 words: each word is in hundreds of sets, and still a set is sent to few buckets."""
+    rng = random.Random(7)
+    sets = {tuple(sorted(rng.sample(range(24), 4))) for _ in range(4_000)}
+    rows = [(i, "p", [f"w{k}" for k in s], 1, "d", True, None, None) for i, s in enumerate(sets)]
+    nodes = stored(word_nodes(spark.createDataFrame(rows, SCHEMA), ["buyer"], "words", "id", "recent"), "test-nodes")
+    before = rows_sent(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for it
+    try:
+        pairs = near_pairs(nodes, ["buyer"], 70, part_nodes=5).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sent = rows_sent(spark) - before
+    assert pairs == 0 and len(sets) < sent < 40 * len(sets), sent
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_audit_equals_all_pairs(spark, seed):
     rows = made(seed, 160, 40, ["p", "q", "r"])
