@@ -123,3 +123,37 @@ def test_the_rounds_learn_from_every_place(monkeypatch):
     for turn in range(lm.ROUNDS):
         list(lm._train(SimpleNamespace(value=(net.tree, net.rows)), turn * lm.STRIDE // lm.ROUNDS, lm.STRIDE)([batch]))
     assert sorted(seen) == lm.padded([t.astype(np.int64) for t in texts], net.edge)[1].tolist()
+
+
+def test_a_step_equals_slopes_of_plain_loops():
+    """Sums of slopes by unit and by context word, against loops over places and units."""
+    from kelpie.llm import language_model as lm
+
+    r = np.random.default_rng(11)
+    net = lm.Window(lm.Tree(r.integers(1, 1000, 25).astype(float)))
+    net.rows["unit"] = r.normal(0, 0.3, net.rows["unit"].shape).astype(np.float32)
+    leaves, places = lm.padded([r.integers(0, 25, 40), r.integers(0, 25, 3)], net.edge)
+    old = {k: v.copy() for k, v in net.rows.items()}
+    slope, n = {k: np.zeros(v.shape) for k, v in old.items()}, {k: np.zeros(len(v)) for k, v in old.items()}
+    scale = (2 * lm.SIDE) ** -0.5
+    for p in places:
+        context = [("left", leaves[p - k]) for k in range(1, lm.SIDE + 1)] + [("right", leaves[p + k]) for k in range(1, lm.SIDE + 1)]
+        h = np.tanh(sum(old[name][w].astype(float) for name, w in context) * scale)
+        dh = np.zeros(lm.WIDTH)
+        for j in range(net.tree.length[leaves[p]]):
+            node, turn = int(net.tree.node[j][leaves[p]]), net.tree.turn[j][leaves[p]]
+            dz = turn / (1 + np.exp(turn * (old["unit"][node] @ h + old["bias"][node, 0])))
+            dh += dz * old["unit"][node]
+            for name, g in (("unit", dz * h), ("bias", dz)):
+                slope[name][node] += g
+                n[name][node] += 1
+        for name, w in context:
+            slope[name][w] += dh * (1 - h * h) * scale
+            n[name][w] += 1
+    seen = {k: np.zeros(len(v)) for k, v in old.items()}
+    power = {k: np.zeros(len(v), np.float32) for k, v in old.items()}
+    net.step(leaves, places, seen, power)
+    for name in old:
+        g = slope[name] / np.sqrt(np.maximum(n[name], 1))[:, None]
+        want = old[name] + lm.RATE * g / np.sqrt((g**2).mean(1) + 1e-3)[:, None]
+        assert (seen[name] == n[name]).all() and np.allclose(net.rows[name], want, atol=2e-4), name
