@@ -2,7 +2,7 @@
 
 Equal sets of a block are one node. Words are ordered rare before frequent; two sets that share o words at least have their
 first l common words among the first n - o + l of each. A bucket is such l words: three, or two or one where three of a set
-would be too many, so that buckets stay small though single words are frequent. A pair meets in the bucket of its first
+would be too many, so that buckets stay small though single words are frequent; a small block is one bucket. A pair meets in the bucket of its first
 common words alone. There it is dropped where sizes or a parity sketch of 64 bits (the bits in which two sketches differ
 never exceed the words in which the sets differ) rule it out; what remains is compared exactly, in the same place.
 """
@@ -19,6 +19,8 @@ from kelpie.session import stored
 PART_NODES = 1_000
 #: Buckets of a set; one with more pairs or triples of leading words takes the next smaller kind.
 MOST_BUCKETS = 24
+#: A block of no more nodes is one bucket.
+BLOCK_NODES = 256
 #: Up to so many different words are put in order by one list of them all, more by a join.
 LISTED_WORDS = 256
 
@@ -75,7 +77,9 @@ def near_pairs(nodes: DataFrame, block: list[str], percent: int, part_nodes: int
     asked about; u < v, each once. Columns in carry are given of both, as u_<name> and v_<name>."""
     carry, named = carry or [], [f"block{k}" for k in range(len(block))]
     sets = _ordered(nodes).select(*[F.col(c).alias(b) for c, b in zip(block, named, strict=True)], F.unhex("node").alias("node"), "n", "sketch", (F.col("asked") > 0).alias("wanted"), "order", *[F.col(c).alias(f"own_{c}") for c in carry])
-    starts = sets.withColumn("key", F.explode(F.expr(_buckets(named, percent))))
+    crowded = sets.groupBy(*named).agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK_NODES).select(*named, F.lit(True).alias("crowded"))
+    sets = sets.join(F.broadcast(crowded), named, "left").withColumn("crowded", F.col("crowded").isNotNull())
+    starts = sets.withColumn("key", F.explode(F.when(F.col("crowded"), F.expr(_buckets(named, percent))).otherwise(F.array(F.xxhash64(*named, F.lit(0))))))
     large = starts.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > part_nodes)  # one row for so many buckets at least
     dealt = starts.join(F.broadcast(large), "key", "left").withColumn("parts", F.expr(f"coalesce(cast(ceil(size / {part_nodes}) as int), 1)")).drop("size")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -91,7 +95,7 @@ def near_pairs(nodes: DataFrame, block: list[str], percent: int, part_nodes: int
     here = F.when(level == 3, F.xxhash64(*own, F.lit(3), *first)).when(level == 2, F.xxhash64(*own, F.lit(2), *first[:2])).otherwise(F.xxhash64(*own, F.lit(1), first[0]))
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ["key", "low", "high", *named]]
     near = 100 * both >= percent * (F.col("a.n") + F.col("b.n") - both)
-    met = a.join(b, _all([*same, _may_be_near(percent), near, here == F.col("a.key")]))  # what costs most comes last
+    met = a.join(b, _all([*same, _may_be_near(percent), near, ~(F.col("a.crowded") & F.col("b.crowded")) | (here == F.col("a.key"))]))  # what costs most comes last
     x, y = (F.struct(F.col(f"{s}.node").alias("node"), *[F.col(f"{s}.own_{c}").alias(c) for c in carry]) for s in "ab")
     forth = F.col("a.node") < F.col("b.node")
     ends = met.select(F.when(forth, x).otherwise(y).alias("x"), F.when(forth, y).otherwise(x).alias("y"))
