@@ -80,3 +80,31 @@ def test_an_attempt_that_failed_is_not_seen(spark, tmp_path):
     assert [r.id for r in index.search("metro").collect()] == [1] and index.search("tram").count() == 0
     index.add(docs.withColumn("text", F.lit("tram")), "id", "text")
     assert index.search("metro").count() == 0 and [r.id for r in index.search("tram").collect()] == [1]
+
+
+def test_a_segment_is_written_where_its_texts_lie(spark, tmp_path):
+    """No row is sent, and a character costs a few bytes in memory as in files: a row for each text and gram cost over thirty."""
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(300)]
+    docs = [(k, " ".join(r.choices(words, k=300))) for k in range(400)]
+    index = SearchIndex(spark, f"file://{tmp_path}/index", "int")
+    index.add(spark.createDataFrame(docs, "id int, text string").coalesce(1), "id", "text")
+    kept = index._read("postings", "data binary, block long").filter("data is not null")
+    assert kept.agg(F.sum(F.octet_length("data") + 24)).first()[0] < 3 * sum(len(t) for _, t in docs)
+    size = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert size < 3 * sum(len(t) for _, t in docs)
+
+
+@pytest.mark.parametrize("block", [1, 12, 60])
+def test_blocks_of_any_size(spark, tmp_path, block):
+    """Strings do not reach from a text into the next, nor are lost where a block ends; merging keeps what is live."""
+    docs = spark.createDataFrame(list(enumerate(["ab", "cd", "", None, "x ab cd", "abcd", "a-b", "metro", "m etro", "the metro line"] * 3)), "id int, text string").coalesce(2)
+    index = SearchIndex(spark, f"file://{tmp_path}/a", "int", block)
+    index.add(docs, "id", "text")
+    index.remove(docs.filter("id % 4 = 1"), "id")
+    left = docs.filter("id % 4 <> 1")
+    merged = index.merge(f"file://{tmp_path}/b")
+    said = {"bcd": ["metro", "x"], "ab": ["metro line"]}
+    for query in ("abcd", "bcd", "ab", "b", "ro"):
+        expected = sorted(x.id for x in left.filter(search_match(F.col("text"), query, said)).collect())
+        assert expected == sorted(x.id for x in index.search(query, said).collect()) == sorted(x.id for x in merged.search(query, said).collect())
