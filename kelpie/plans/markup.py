@@ -39,7 +39,7 @@ def order_grids(spark, d):
     line = F.struct(F.col("l_linenumber").alias("n"), F.concat(F.lit("<tr class=x><td>"), F.col("l_quantity").cast("string"), F.lit("<td><b>"), "l_returnflag", F.lit("</b> &amp; "), "l_linestatus", F.lit("</td></tr>\n")).alias("html"))
     pages = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["html"]), "").alias("rows"))
     pages = pages.select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("<TABLE border=0><tr><th>The  Quantity<th>Line state</tr>"), "rows", F.lit("</table>")).alias("html"))
-    return markup.named_rows(markup.grid(pages, ["o_orderkey"], "html"), ["o_orderkey"], {"quantity": "quantity$", "state": "^line"})
+    return markup.table_rows(pages, ["o_orderkey"], "html", {"quantity": "quantity$", "state": "^line"})
 
 
 @query(TEXTS["text_search_all_words"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from kelpie.functions.text import html_text
+from kelpie.functions.text import html_text, read_text, untagged
 
 MALFORMED = "malformed"
 _LINK = "struct<_href:string,_rel:string,_VALUE:string>"
@@ -56,16 +56,26 @@ def _ddl(fields: str) -> str:
     return ",".join(":".join(f.split(" ", 1)) for f in fields.split(", "))
 
 
+def _parts(text: Column, tag: str) -> Column:
+    """Each such tag with all up to the next one or its end; what follows is looked at where a tag may begin."""
+    return F.regexp_extract_all(text, F.lit(rf"(?is)(<{tag}\b[^>]*+>[^<]*+(?:<(?!{tag}\b|/{tag})[^<]*+)*+)"), F.lit(1))
+
+
+def _tables(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, grid, rows_): the rows of each table, as they are written."""
+    tables = df.select(*keys, F.posexplode(F.regexp_extract_all(F.col(column), F.lit(r"(?is)<table\b[^>]*+>([^<]*+(?:<(?!/table)[^<]*+)*+)"), F.lit(1))).alias("grid", "t_"))
+    return tables.select(*keys, "grid", _parts(F.col("t_"), "tr").alias("rows_"))
+
+
+def _cells(row: Column) -> Column:
+    return _parts(row, "t[dh]")
+
+
 def grid(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """(keys, grid, row, cell, header, text) of the tables of HTML pages, which need not be well formed: rows and cells end
     where the next one begins. Numbers begin at 0; tables inside tables are read as rows of the outer one."""
-
-    def parts(text: Column, tag: str, until: str) -> Column:
-        return F.regexp_extract_all(text, F.lit(rf"(?is)(<{tag}\b[^>]*+>(?:(?!<{tag}\b|{until}).)*+)"), F.lit(1))
-
-    tables = df.select(*keys, F.posexplode(F.regexp_extract_all(F.col(column), F.lit(r"(?is)<table\b[^>]*+>((?:(?!</table).)*+)"), F.lit(1))).alias("grid", "t_"))
-    rows = tables.select(*keys, "grid", F.posexplode(parts(F.col("t_"), "tr", "</tr")).alias("row", "r_"))
-    cells = rows.select(*keys, "grid", "row", F.posexplode(parts(F.col("r_"), "t[dh]", "</t[dh]")).alias("cell", "c_"))
+    rows = _tables(df, keys, column).select(*keys, "grid", F.posexplode("rows_").alias("row", "r_"))
+    cells = rows.select(*keys, "grid", "row", F.posexplode(_cells(F.col("r_"))).alias("cell", "c_"))
     return cells.select(*keys, "grid", "row", "cell", F.col("c_").rlike("(?i)^<th").alias("header"), html_text(F.col("c_")).alias("text"))
 
 
@@ -82,6 +92,22 @@ def named_rows(cells: DataFrame, keys: list[str], names: dict[str, str]) -> Data
     return body.select(*keys, "grid", "row", *[F.try_element_at(F.col("cells_"), place(p)).alias(n) for n, p in names.items()])
 
 
+def table_rows(df: DataFrame, keys: list[str], column: str, names: dict[str, str]) -> DataFrame:
+    """The same as named_rows() of grid(), but where the pages lie: no cell is sent, and only cells that are named are read."""
+    headed = _tables(df, keys, column).withColumn("head_", _cells(F.get("rows_", F.lit(0))))
+    plain = (F.size("head_") > 0) & F.forall("head_", lambda c: c.rlike("(?i)^<th"))
+    read = headed.select(*keys, "grid", F.when(plain, F.col("rows_")).alias("rows_"), F.when(plain, F.transform(F.transform("head_", untagged), read_text)).alias("h_"))
+
+    def place(pattern: str) -> Column:
+        first = F.filter(F.transform("h_", lambda x, k: F.when(x.rlike(f"(?i){pattern}"), k)), lambda k: k.isNotNull())
+        return F.get(first, F.lit(0))
+
+    found = read.select(*keys, "grid", "rows_", *[place(p).alias(f"p{k}_") for k, p in enumerate(names.values())])
+    rows = found.select(*keys, "grid", F.posexplode("rows_").alias("row", "r_"), *[f"p{k}_" for k in range(len(names))]).filter("row > 0")
+    rows = rows.withColumn("c_", _cells(F.col("r_"))).filter(F.size("c_") > 0)
+    return rows.select(*keys, "grid", "row", *[html_text(F.get("c_", F.col(f"p{k}_"))).alias(n) for k, n in enumerate(names)])
+
+
 def embedded_json(df: DataFrame, column: str, ddl: str, name: str, kind: str = "application/(?:ld\\+)?json") -> DataFrame:
     """df with `name`: the documents of a page's data scripts, an array of structs; null where one does not parse."""
     scripts = F.regexp_extract_all(F.col(column), F.lit(rf"(?is)<script\b[^>]*type=[\x22']{kind}[\x22'][^>]*+>((?:(?!</script).)*+)"), F.lit(1))

@@ -42,12 +42,31 @@ def test_grids(spark):
     assert sorted((r.row, r.number, r.due, r.none) for r in named) == [(1, "7", "1 May", None), (2, "8", None, None)]
 
 
+def test_table_rows_equal_named_rows(spark):
+    """Rows by their headers, without a shuffle; odd tables: no header, a cell too few, rows without cells, scripts, tags cut off."""
+    odd = "<table><tr></tr><tr><th>Nr</th></tr></table><TABLE><TR><TH>due <th>NR &amp; due<tr>no cell<tr><td>1 &lt; 2 &amp;amp;<td>&amp;&eacute;&#65;<tr><td><SCRIPT>x</SCRIPT>3<STYLE>s</style><<b>x<th>4</table>"
+    mixed = "<table><tr><th>nr<td>due</tr><tr><td>1<td>2</tr></table><table x><thead><tr><th>nr</thead><tfoot><tr><td>5 <br>\t6&nbsp;</tfoot></table"
+    pages = spark.createDataFrame([(1, TABLE), (2, None), (3, "<table><tr><td>cut"), (4, odd), (5, mixed), (6, "a < b <table"), (7, "")], "id int, html string")
+    names = {"number": "^nr", "due": "due", "none": "absent"}
+    found = markup.table_rows(pages, ["id"], "html", names)
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+    expected = markup.named_rows(markup.grid(pages, ["id"], "html"), ["id"], names)
+    key = lambda r: (r.id, r.grid, r.row)
+    assert sorted(found.collect(), key=key) == sorted(expected.collect(), key=key)
+    assert [(r.number, r.due) for r in sorted(found.filter("id = 4").collect(), key=key)] == [("&éA", "1 < 2 &amp;"), ("4", "3 x")]
+
+
 def test_long_page(spark):
     """A page of two million characters does not overflow the matcher."""
     html = "<table>" + "<tr><td>" + "x" * 2_000_000 + "</td></tr></table>"
     assert markup.grid(spark.createDataFrame([(1, html)], "id int, html string"), ["id"], "html").selectExpr("length(text)").first()[0] == 2_000_000
 
 
+def test_long_page_of_tags(spark):
+    tags = "<table>" + "<tr><td>" + "x<i>" * 500_000 + "</td></tr></table>"
+    assert markup.grid(spark.createDataFrame([(1, tags)], "id int, html string"), ["id"], "html").selectExpr("length(text)").first()[0] == 999_999
+
+
 def test_embedded_json(spark):
     html = '<script>var x=1</script><script type="application/ld+json">{"name":"n","n":3}</script><script type=\'application/json\'>{broken</script>'
     row = markup.embedded_json(spark.createDataFrame([(html,)], "h string"), "h", "name string, n int", "data").first()
