@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kelpie.operators.preferences import matching_notices, with_profile
+from kelpie.operators.preferences import matching_notices, matching_sums, with_profile
 
 NOTICE = "id long, country string, industries array<string>, statuses array<string>, tier string, said string, profile string"
 WANTS = "who long, countries array<string>, industries array<string>, statuses array<string>, tiers array<string>, keywords array<string>"
@@ -30,3 +30,15 @@ def test_preferences_equal_a_loop(spark):
     assert len(got) == len(set(got))
     assert set(got) == {(w[0], n[0]) for w in wants for n in notices if asks(n, w)}
     assert matching_notices(spark.createDataFrame([], NOTICE), people, "id", "country", "industries", "statuses", "tier", F.col("said")).count() == 0
+
+
+def test_sums_equal_the_pairs_summed(spark):
+    """Counts, least and largest ids, without a row for each pair: many notices of a few classes, most of them asked for by all."""
+    rng = random.Random(3)
+    notices = [(i, rng.choice(["aa", None]), rng.choice([None, ["x"], ["x", None, "y"]]), rng.choice([["open"], ["closed", "open"], ["open", "closed"]]), rng.choice(["t1", None]), rng.choice(["Pump", "house PUMP", None]), "") for i in range(300)]
+    wants = [(k, rng.choice([[], ["aa"]]), rng.choice([[], ["y"]]), rng.choice([[], ["open", "closed"]]), rng.choice([None, [""]]), rng.choice([[], ["pump", "House"], ["house"], [""], ["none"]])) for k in range(60)]
+    people, of = with_profile(spark.createDataFrame(wants, WANTS)), ("id", "country", "industries", "statuses", "tier", F.col("said"))
+    pairs = matching_notices(spark.createDataFrame(notices, NOTICE), people, *of)
+    expected = pairs.groupBy("profile").agg(F.count("*"), F.min("id"), F.max("id"))
+    found = matching_sums(spark.createDataFrame(notices, NOTICE), people, *of)
+    assert found.count() > 5 and sorted(found.collect()) == sorted(expected.collect())
