@@ -29,6 +29,8 @@ SIDE, WIDTH = 3, 16
 #: Each round learns from every STRIDE-th place, from another one on: together the rounds learn from all.
 STRIDE, ROUNDS = 2, 2
 RATE, BATCH = 0.3, 1024
+#: The tree's heaviest units, over two fifths of all that words descend through: a step takes them for all its places as matrices.
+TOP = 31
 SUFFIX = 3
 CHUNK_BYTES = 256 << 10
 PLACES = 4096
@@ -103,6 +105,13 @@ class Tree:
         self.start = np.cumsum(self.length) - self.length
         live = live.T
         self.path, self.turns = self.node.T[live], self.turn.T[live]
+        # units are numbered by rising weight, so the heaviest are the last ones, and every path begins with some of them
+        self.light = max(len(self.bias) - TOP, 0)
+        heavy = self.path >= self.light
+        leaf = np.repeat(np.arange(n), self.length)
+        self.skip = np.bincount(leaf[heavy], minlength=n)
+        self.top = np.zeros((n, len(self.bias) - self.light), np.int8)
+        self.top[leaf[heavy], self.path[heavy].astype(np.int64) - self.light] = self.turns[heavy]
 
 
 class Window:
@@ -162,14 +171,34 @@ class Window:
         scale = np.float32((2 * SIDE) ** -0.5)
         x = self.rows["left"].take(left, 0).reshape(SIDE, -1, WIDTH).sum(0) + self.rows["right"].take(right, 0).reshape(SIDE, -1, WIDTH).sum(0)
         h = np.tanh(x * scale)
-        # all units of all paths at once, one path after another
-        word = leaves[places]
-        length, start = self.tree.length[word], self.tree.start[word]
+        word, light = leaves[places], self.tree.light
+        # the heaviest units of all places as matrices; a turn of 0 is a unit off the path
+        turn = self.tree.top.take(word, 0).astype(np.float32)
+        heavy = self.rows["unit"][light:]
+        dz = h @ heavy.T
+        dz += self.rows["bias"].ravel()[light:]
+        dz *= turn
+        np.exp(dz, out=dz)
+        dz += 1
+        np.divide(turn, dz, out=dz)
+        ones = np.ones(len(h), np.float32)
+        dh, to_unit, to_bias = dz @ heavy, dz.T @ h, (ones @ dz)[:, None]
+        n = ones @ (turn * turn)
+        row = np.flatnonzero(n)
+        n = n[row]
+        self._move("unit", row + light, n, to_unit[row], seen, power)
+        self._move("bias", row + light, n, to_bias[row], seen, power)
+        # all other units of all paths at once, one path after another, the short ones first
+        rest = self.tree.length[word] - self.tree.skip[word]
+        deep = np.argsort(rest.astype(np.uint8 if rest.max(initial=0) < 256 else np.int64), kind="stable")
+        deep = deep[np.searchsorted(rest[deep], 1) :]
+        word, length = word[deep], rest[deep]
+        start = self.tree.start[word] + self.tree.skip[word]
         begins = np.cumsum(length) - length
         at = np.repeat(start - begins, length)
         at += np.arange(len(at))
         node, turn = self.tree.path.take(at), self.tree.turns.take(at)
-        of = np.repeat(np.arange(len(word)), length)
+        of = np.repeat(deep, length)
         u = self.rows["unit"].take(node, 0)
         z = np.einsum("ij,ij->i", u, h.take(of, 0))
         z += self.rows["bias"].ravel().take(node)
@@ -177,16 +206,21 @@ class Window:
         np.exp(z, out=z)
         z += 1
         dz = np.divide(turn, z, out=z)
-        u *= dz[:, None]
-        dh = _sums(u, begins)
-
-        groups = _grouped(node)
-        order = groups[0]
-        dz = dz.take(order)[:, None]
-        slope = h.take(of.take(order), 0)
-        slope *= dz
-        self._add("unit", groups, slope, seen, power)
-        self._add("bias", groups, dz, seen, power)
+        if len(deep):
+            runs = np.flatnonzero(np.diff(length, prepend=0)).tolist()
+            sums = np.empty((len(deep), WIDTH), np.float32)
+            for i, j in zip(runs, [*runs[1:], len(deep)], strict=True):  # paths of one length
+                a, m = int(begins[i]), int(length[i])
+                b = a + (j - i) * m
+                np.matmul(dz[a:b].reshape(-1, 1, m), u[a:b].reshape(-1, m, WIDTH), out=sums[i:j, None])
+            dh[deep] += sums
+            groups = _grouped(node)
+            order = groups[0]
+            dz = dz.take(order)[:, None]
+            slope = h.take(of.take(order), 0)
+            slope *= dz
+            self._add("unit", groups, slope, seen, power)
+            self._add("bias", groups, dz, seen, power)
         dh *= 1 - h * h
         dh *= scale
         for name, at in (("left", left), ("right", right)):
@@ -194,15 +228,18 @@ class Window:
             self._add(name, groups, dh.take(groups[0] % len(dh), 0), seen, power)
 
     def _add(self, name: str, groups: tuple, slope: np.ndarray, seen: dict, power: dict) -> None:
-        """Slopes of one row, which lie together, add up; steps shrink with the row's squared slopes."""
+        """Slopes of one row, which lie together, add up."""
         _, first, row, n = groups
-        g = _sums(slope, first)
-        g *= (1 / np.sqrt(n)).astype(np.float32)[:, None]
-        p = power[name].take(row) + np.einsum("ij,ij->i", g, g) / g.shape[1]
+        self._move(name, row, n, _sums(slope, first), seen, power)
+
+    def _move(self, name: str, row: np.ndarray, n: np.ndarray, g: np.ndarray, seen: dict, power: dict) -> None:
+        """Change rows by the sums g of their n slopes; steps shrink with the row's squared slopes."""
+        p = power[name].take(row) + np.einsum("ij,ij->i", g, g) / (n * g.shape[1]).astype(np.float32)
         power[name][row] = p
         seen[name][row] += n
-        g *= (RATE / np.sqrt(p + 1e-3))[:, None]
-        self.rows[name][row] += g
+        g *= (RATE / np.sqrt((p + np.float32(1e-3)) * n.astype(np.float32)))[:, None]
+        g += self.rows[name].take(row, 0)
+        self.rows[name][row] = g
 
 
 def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:

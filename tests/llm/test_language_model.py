@@ -157,3 +157,19 @@ def test_a_step_equals_slopes_of_plain_loops():
         g = slope[name] / np.sqrt(np.maximum(n[name], 1))[:, None]
         want = old[name] + lm.RATE * g / np.sqrt((g**2).mean(1) + 1e-3)[:, None]
         assert (seen[name] == n[name]).all() and np.allclose(net.rows[name], want, atol=2e-4), name
+
+
+def test_a_step_is_the_same_with_units_as_matrices_or_by_paths(monkeypatch):
+    from kelpie.llm import language_model as lm
+
+    r = np.random.default_rng(8)
+    counts, leaves, rows = r.zipf(1.3, 300).clip(0, 9999).astype(float), r.integers(0, 300, 400), {}
+    for top in (0, 1, 31, 1000):
+        monkeypatch.setattr(lm, "TOP", top)
+        net = lm.Window(lm.Tree(counts))
+        run, places = lm.padded([leaves], 300)
+        seen, power = {k: np.zeros(len(v)) for k, v in net.rows.items()}, {k: np.zeros(len(v), np.float32) for k, v in net.rows.items()}
+        for _ in range(2):
+            net.step(run, places, seen, power)
+        rows[top] = net.rows | {f"seen {k}": v for k, v in seen.items()}
+        assert all(np.allclose(rows[top][k], rows[0][k], atol=1e-4) for k in rows[0])
