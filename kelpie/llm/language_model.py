@@ -7,7 +7,7 @@ each and squashed; every node of the tree holds a logistic unit over that layer,
 to 1 and a word costs as many units as its code is long. The units' biases start from the corpus counts.
 
 Training passes over all texts. In each round, every partition starts from the same network, runs stochastic gradient steps
-on every STRIDE-th place of every text, and hands in the rows it has changed; Spark adds them up, each row weighted by how often it
+on every STRIDE-th run of RUN places, and hands in the rows it has changed; Spark adds them up, each row weighted by how often it
 was changed, and the averages are the next round's network. Words without a leaf of their own are scored by their count in
 all other documents, through a join with the table of counts. A document's score is the sum over its words.
 """
@@ -17,20 +17,27 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import ALNUM, LOWER, discard, finished_shuffles_go, materialize, quiet_threads, ranges, slices, span_hashes, table, utf8_of, word_spans
+from kelpie.llm.common import ALNUM, LOWER, discard, finished_shuffles_go, materialize, quiet_threads, ranges, running_sums, slices, span_hashes, table, utf8_of, word_spans
 
 HEAD, BUCKETS = 28_672, 4096
 SIDE, WIDTH = 3, 16
-#: Each round learns from every STRIDE-th place, from another one on: together the rounds learn from all.
+#: Each round learns from every STRIDE-th run of places, from another one on: together the rounds learn from all.
 STRIDE, ROUNDS = 2, 2
 RATE, BATCH = 0.3, 1024
 #: The tree's heaviest units, over two fifths of all that words descend through: a step takes them for all its places as matrices.
 TOP = 31
+#: Places are dealt to the rounds and shuffled in runs of so many, which have most of the words around them in common.
+RUN = 64
+#: So many slopes of a row are added as layers over all rows, further ones row by row.
+LAYERS = 6
+#: Steps are planned so many at once.
+PLANNED = 16
 SUFFIX = 3
 CHUNK_BYTES = 256 << 10
 PLACES = 4096
@@ -44,8 +51,9 @@ def words_of(texts: pa.Array):
     for i, j in slices(offsets, CHUNK_BYTES):
         raw = LOWER[whole[offsets[i] : offsets[j]]]
         start, end, first = word_spans(raw, offsets[i : j + 1] - offsets[i], ALNUM)
-        ending = span_hashes(raw, np.maximum(start, end - SUFFIX), end)
-        yield span_hashes(raw, start, end).view(np.int64), (ending % np.uint64(BUCKETS)).astype(np.int64), first
+        sums = running_sums(raw)
+        ending = span_hashes(raw, np.maximum(start, end - SUFFIX), end, sums)
+        yield span_hashes(raw, start, end, sums).view(np.int64), (ending % np.uint64(BUCKETS)).astype(np.int64), first
 
 
 def _count_words(batches):
@@ -53,8 +61,10 @@ def _count_words(batches):
 
     def summed(parts):
         word, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
-        word, at, count = np.unique(word, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(bucket[at]), pa.array(count)], ["word", "bucket", "count"])
+        code, word = pd.factorize(word)
+        of = np.empty(len(word), np.int64)
+        of[code] = bucket  # one word, one ending
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(of), pa.array(np.bincount(code, minlength=len(word)))], ["word", "bucket", "count"])
 
     held, size = [], 0
     for batch in batches:
@@ -127,12 +137,16 @@ class Window:
 
     def layer(self, leaves: np.ndarray) -> np.ndarray:
         """The hidden layer at each place of a run of leaves; the edge stands SIDE times before, between and after texts."""
+        return np.tanh(self._around(leaves) * np.float32((2 * SIDE) ** -0.5))
+
+    def _around(self, leaves: np.ndarray) -> np.ndarray:
+        """At each place of a run of leaves, the sum of the embeddings to its left and right."""
         x, y = self.rows["left"].take(leaves, 0), self.rows["right"].take(leaves, 0)
         h = np.zeros_like(x)
         for k in range(1, SIDE + 1):
             h[k:] += x[:-k]
             h[:-k] += y[k:]
-        return np.tanh(h * np.float32((2 * SIDE) ** -0.5))
+        return h
 
     def _descend(self, leaves: np.ndarray):
         """For each depth: the first so many leaves that reach it, their units and turns. Leaves come by falling depth."""
@@ -148,12 +162,12 @@ class Window:
         """Of each leaf at its place."""
         out = np.empty(len(leaves), np.float32)
         unit, bias = self.rows["unit"], self.rows["bias"].ravel()
-        for i in range(0, len(leaves), PLACES):
-            order = self._by_depth(leaves[i : i + PLACES])
-            some, wide = leaves[i : i + PLACES][order], h[i : i + PLACES].take(order, 0)
+        for i in range(0, len(leaves), 4 * PLACES):
+            order = self._by_depth(leaves[i : i + 4 * PLACES])
+            some, wide = leaves[i : i + 4 * PLACES][order], h[i : i + 4 * PLACES].take(order, 0)
             total = np.zeros(len(some), np.float32)
             for m, node, turn in self._descend(some):
-                z = np.einsum("ij,ij->i", unit.take(node, 0), wide[:m])
+                z = _dots(unit.take(node, 0), wide[:m])
                 z += bias.take(node)
                 z *= turn  # minus log(1 + exp(-z)), of exponents below 0 alone
                 total[:m] += np.minimum(z, 0)
@@ -165,13 +179,52 @@ class Window:
             out[i + order] = total
         return out
 
-    def step(self, leaves: np.ndarray, places: np.ndarray, seen: dict[str, np.ndarray], power: dict[str, np.ndarray]) -> None:
-        """One gradient step on the words at some places. seen: how often each row was changed; power: its squared slopes."""
-        left, right = (np.ascontiguousarray((leaves[places[:, None] + k * np.arange(1, SIDE + 1)]).T).ravel() for k in (-1, 1))
+    def plans(self, leaves: np.ndarray, batches: list[np.ndarray], seen: dict[str, np.ndarray]) -> list[dict]:
+        """What steps on some batches of places need of leaves and paths, worked out for all these steps at once. seen: how often
+        each row is changed; rows of the heaviest units are counted in the step."""
+        tree, size = self.tree, np.array([len(x) for x in batches])
+        of = np.repeat(np.arange(len(batches)), size)
+        place = np.concatenate([np.sort(x) for x in batches]) + of * len(leaves)
+        # the places and the words around them, in a row: places that lie together share most of these
+        fresh = np.minimum(np.diff(place, prepend=-2 * SIDE), 2 * SIDE + 1)
+        end = np.cumsum(fresh)
+        at = ranges(place + SIDE + 1 - fresh, fresh)
+        place, cut = end - 1 - SIDE, np.concatenate([[0], end[np.cumsum(size) - 1]])
+        context = leaves.take(at % len(leaves))
+        mine = np.zeros(len(at), np.int64)
+        mine[place] = 1
+        left, right = np.zeros_like(mine), np.zeros_like(mine)
+        for k in range(1, SIDE + 1):
+            left[:-k] += mine[k:]
+            right[k:] += mine[:-k]
+        word = context.take(place)
+        place -= cut.take(of)
+        contexts = _mentions(context, cut, left, right)
+        # units of the paths beside the heaviest: the first of every path, then the second ones, and so on
+        rest = tree.length.take(word) - tree.skip.take(word)
+        deep = np.flatnonzero(rest)
+        start = (tree.start + tree.skip).take(word.take(deep))
+        order, node, path, ends, layers = _layers(of.take(deep), start, rest.take(deep), len(batches), 2 * LAYERS)
+        deep = deep.take(order) - (np.cumsum(size) - size).take(of.take(deep.take(order)))
+        deeps = np.cumsum([0, *(x[0][0] if x[0] else 0 for x in layers)])
+        turn, node = tree.turns.take(node), tree.path.take(node)
+        units = _mentions(node, ends)
+        first, out = np.cumsum(size) - size, []
+        for name, row, n in (("left", context, left), ("right", context, right), ("unit", node, None), ("bias", node, None)):
+            seen[name] += np.bincount(row, n, len(seen[name]))
+        for b, (i, n) in enumerate(zip(first.tolist(), size.tolist(), strict=True)):
+            span = slice(ends[b], ends[b + 1])
+            out.append({"context": context[cut[b] : cut[b + 1]], "place": place[i : i + n], "word": word[i : i + n], "contexts": contexts[b], "deep": deep[deeps[b] : deeps[b + 1]],
+                        "path": path[span], "layers": layers[b], "node": node[span], "turn": turn[span], "units": units[b]})
+        return out
+
+    def step(self, leaves: np.ndarray, places: np.ndarray, seen: dict[str, np.ndarray], power: dict[str, np.ndarray], plan: dict | None = None) -> None:
+        """One gradient step on the words at some places. seen: how often each row was changed; power: its squared slopes.
+        plan: what plans() gives for these places, whose rows it has counted."""
+        plan = plan or self.plans(leaves, [places], seen)[0]
+        context, place, word, light = plan["context"], plan["place"], plan["word"], self.tree.light
         scale = np.float32((2 * SIDE) ** -0.5)
-        x = self.rows["left"].take(left, 0).reshape(SIDE, -1, WIDTH).sum(0) + self.rows["right"].take(right, 0).reshape(SIDE, -1, WIDTH).sum(0)
-        h = np.tanh(x * scale)
-        word, light = leaves[places], self.tree.light
+        h = np.tanh(self._around(context).take(place, 0) * scale)
         # the heaviest units of all places as matrices; a turn of 0 is a unit off the path
         turn = self.tree.top.take(word, 0).astype(np.float32)
         heavy = self.rows["unit"][light:]
@@ -183,78 +236,133 @@ class Window:
         np.divide(turn, dz, out=dz)
         ones = np.ones(len(h), np.float32)
         dh, to_unit, to_bias = dz @ heavy, dz.T @ h, (ones @ dz)[:, None]
-        n = ones @ (turn * turn)
-        row = np.flatnonzero(n)
-        n = n[row]
-        self._move("unit", row + light, n, to_unit[row], seen, power)
-        self._move("bias", row + light, n, to_bias[row], seen, power)
-        # all other units of all paths at once, one path after another, the short ones first
-        rest = self.tree.length[word] - self.tree.skip[word]
-        deep = np.argsort(rest.astype(np.uint8 if rest.max(initial=0) < 256 else np.int64), kind="stable")
-        deep = deep[np.searchsorted(rest[deep], 1) :]
-        word, length = word[deep], rest[deep]
-        start = self.tree.start[word] + self.tree.skip[word]
-        begins = np.cumsum(length) - length
-        at = np.repeat(start - begins, length)
-        at += np.arange(len(at))
-        node, turn = self.tree.path.take(at), self.tree.turns.take(at)
-        of = np.repeat(deep, length)
-        u = self.rows["unit"].take(node, 0)
-        z = np.einsum("ij,ij->i", u, h.take(of, 0))
-        z += self.rows["bias"].ravel().take(node)
-        z *= turn
-        np.exp(z, out=z)
-        z += 1
-        dz = np.divide(turn, z, out=z)
-        if len(deep):
-            runs = np.flatnonzero(np.diff(length, prepend=0)).tolist()
-            sums = np.empty((len(deep), WIDTH), np.float32)
-            for i, j in zip(runs, [*runs[1:], len(deep)], strict=True):  # paths of one length
-                a, m = int(begins[i]), int(length[i])
-                b = a + (j - i) * m
-                np.matmul(dz[a:b].reshape(-1, 1, m), u[a:b].reshape(-1, m, WIDTH), out=sums[i:j, None])
-            dh[deep] += sums
-            groups = _grouped(node)
-            order = groups[0]
-            dz = dz.take(order)[:, None]
-            slope = h.take(of.take(order), 0)
-            slope *= dz
-            self._add("unit", groups, slope, seen, power)
-            self._add("bias", groups, dz, seen, power)
+        row, n = np.arange(light, light + len(heavy)), ones @ (turn * turn)
+        for name in ("unit", "bias"):
+            seen[name][light:] += n
+        # all other units of all paths at once
+        if len(plan["node"]):
+            deep, path, node, turn = plan["deep"], plan["path"], plan["node"], plan["turn"]
+            u, wide = self.rows["unit"].take(node, 0), h.take(deep.take(path), 0)
+            z = _dots(u, wide)
+            z += self.rows["bias"].ravel().take(node)
+            z *= turn
+            np.exp(z, out=z)
+            z += 1
+            dz = np.divide(turn, z, out=z)[:, None]
+            u *= dz
+            wide *= dz
+            dh[deep] += _sums(u, plan["layers"])
+            order, layers, more, (times,) = plan["units"]
+            to_unit = np.concatenate([to_unit, _sums(wide.take(order, 0), layers)])
+            to_bias = np.concatenate([to_bias, _sums(dz.take(order, 0), layers)])
+            row, n = np.concatenate([row, more]), np.concatenate([n, times])
+        # what a word's places say of it as a context
         dh *= 1 - h * h
         dh *= scale
-        for name, at in (("left", left), ("right", right)):
-            groups = _grouped(at.astype(np.uint16))
-            self._add(name, groups, dh.take(groups[0] % len(dh), 0), seen, power)
-
-    def _add(self, name: str, groups: tuple, slope: np.ndarray, seen: dict, power: dict) -> None:
-        """Slopes of one row, which lie together, add up."""
-        _, first, row, n = groups
-        self._move(name, row, n, _sums(slope, first), seen, power)
-
-    def _move(self, name: str, row: np.ndarray, n: np.ndarray, g: np.ndarray, seen: dict, power: dict) -> None:
-        """Change rows by the sums g of their n slopes; steps shrink with the row's squared slopes."""
-        p = power[name].take(row) + np.einsum("ij,ij->i", g, g) / (n * g.shape[1]).astype(np.float32)
-        power[name][row] = p
-        seen[name][row] += n
-        g *= (RATE / np.sqrt((p + np.float32(1e-3)) * n.astype(np.float32)))[:, None]
-        g += self.rows[name].take(row, 0)
-        self.rows[name][row] = g
-
-
-def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows that begin at first; two columns add as one complex number, in half the time."""
-    if x.shape[1] % 2:
-        return np.stack([np.add.reduceat(np.ascontiguousarray(c), first) for c in x.T], 1)
-    return np.add.reduceat(x.view(np.complex64), first, axis=0).view(np.float32)
-
-
-def _grouped(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(order that puts equal rows together, where each row's begin, the rows, how often each is named)."""
-    order = np.argsort(at, kind="stable")
-    at = at.take(order)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return order, first, at[first].astype(np.int64), np.diff(np.append(first, len(at)))
+        wide = np.zeros((len(context), WIDTH), np.float32)
+        wide[place] = dh
+        left, right = np.zeros_like(wide), np.zeros_like(wide)
+        for k in range(1, SIDE + 1):
+            left[:-k] += wide[k:]
+            right[k:] += wide[:-k]
+        order, layers, words, times = plan["contexts"]
+        sides = [_sums(x.take(order, 0), layers) for x in (left, right)]
+        self._move({"bias": row}, n, to_bias, power)
+        self._move({"unit": row, "left": words, "right": words}, np.concatenate([n, *times]), np.concatenate([to_unit, *sides]), power)
+
+    def _move(self, at: dict[str, np.ndarray], n: np.ndarray, g: np.ndarray, power: dict) -> None:
+        """Change rows by the sums g of their n slopes; steps shrink with a row's squared slopes. Row numbers come table by table."""
+        some = np.maximum(n, np.float32(1))  # a row without slopes stays as it is
+        p = _dots(g, g)
+        p /= some * np.float32(g.shape[1])
+        i = 0
+        for name, row in at.items():
+            mine = p[i : i + len(row)]
+            mine += power[name].take(row)
+            power[name][row] = mine
+            i += len(row)
+        p += np.float32(1e-3)
+        p *= some
+        np.sqrt(p, out=p)
+        g *= np.divide(np.float32(RATE), p, out=p)[:, None]
+        i = 0
+        for name, row in at.items():
+            rows, mine = self.rows[name], g[i : i + len(row)]
+            mine += rows.take(row, 0)
+            whole = f"V{rows.itemsize * rows.shape[1]}"  # a row as one item is put in a third of the time
+            np.put(rows.view(whole), row, mine.astype(rows.dtype, copy=False).view(whole))
+            i += len(row)
+
+
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The product of each row of x with that of y."""
+    return (x * y) @ np.ones(x.shape[1], x.dtype)
+
+
+def _layers(batch: np.ndarray, first: np.ndarray, n: np.ndarray, batches: int, most: int) -> tuple:
+    """Groups k of the numbers first[k], first[k] + 1, ..., n[k] of them, at least one; those of a batch lie together.
+
+    Gives (an order of the groups within their batch, numbers, which group of its batch each is of, where each batch's numbers
+    begin, layers of each batch). A batch's numbers begin with one of every group, then come second ones of the groups that have
+    it, and so on `most` times, then all others group by group; layers tells how many each layer has, and where the others of
+    each group begin."""
+    key = batch * (most + 1) + np.maximum(most + 1 - n, 0)
+    order = np.argsort(key.astype(np.uint16 if batches * (most + 1) < 1 << 16 else np.int64), kind="stable")
+    batch, first, n = batch.take(order), first.take(order), n.take(order)
+    sizes = np.bincount(batch * (most + 2) + np.minimum(n, most + 1), minlength=batches * (most + 2)).reshape(batches, -1)
+    sizes = sizes[:, ::-1].cumsum(1)[:, ::-1][:, 1:]  # [b, k]: groups of batch b with over k numbers
+    begin = np.cumsum(sizes[:, 0]) - sizes[:, 0]
+    layered, sizes = sizes[:, :most], sizes.tolist()
+    group = ranges(np.zeros(layered.size, np.int64), layered.ravel())
+    numbers = first.take(group + np.repeat(begin, layered.sum(1))) + np.repeat(np.tile(np.arange(most), batches), layered.ravel())
+    long = np.flatnonzero(n > most)
+    more = n.take(long) - most
+    tail = np.bincount(batch.take(long), more, batches).astype(np.int64)
+    to, to_tail = (np.concatenate([[0], np.cumsum(x)]) for x in (layered.sum(1), tail))
+    joined = lambda x, y: np.concatenate([part[i[b] : i[b + 1]] for b in range(batches) for part, i in ((x, to), (y, to_tail))])
+    all_groups = joined(group, np.repeat(long - begin.take(batch.take(long)), more))
+    all_numbers = joined(numbers, ranges(first.take(long) + most, more))
+    starts, i, layers = np.cumsum(more) - more, 0, []
+    for size in sizes:
+        j = i + size.pop()
+        layers.append(([m for m in size if m], starts[i:j] - (starts[i] if j > i else 0)))
+        i = j
+    return order, all_numbers, all_groups, to + to_tail, layers
+
+
+def _mentions(row: np.ndarray, cut: np.ndarray, *times: np.ndarray) -> list[tuple]:
+    """For each batch, from cut[b] to cut[b + 1]: (order, layers, the rows named, how often each is). The order puts mentions of
+    rows into layers. times: what each mention counts, 1 if not given."""
+    spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+    row = row.astype(np.uint16)
+    order = np.concatenate([np.argsort(row[i:j], kind="stable") + i for i, j in spans])
+    at, fresh = row.take(order), np.ones(len(row), bool)
+    fresh[1:] = at[1:] != at[:-1]
+    fresh[cut[:-1][cut[:-1] < len(row)]] = True
+    first = np.flatnonzero(fresh)
+    n = np.diff(first, append=len(at))
+    counts = [np.add.reduceat(x.take(order), first) if len(first) else n for x in times] or [n]
+    groups, numbers, _, ends, layers = _layers(np.repeat(np.arange(len(spans)), np.diff(np.searchsorted(first, cut))), first, n, len(spans), LAYERS)
+    rows, order = at.take(first.take(groups)).astype(np.int64), order.take(numbers)
+    counts, out, g = [x.take(groups).astype(np.float32) for x in counts], [], 0
+    for (i, j), (sizes, more) in zip(spans, layers, strict=True):
+        h = g + (sizes[0] if sizes else 0)
+        out.append((order[i:j] - i, (sizes, more), rows[g:h], [x[g:h] for x in counts]))
+        g = h
+    return out
+
+
+def _sums(x: np.ndarray, layers: tuple[list[int], np.ndarray]) -> np.ndarray:
+    """The sum of each group's rows, which lie in layers; in place."""
+    sizes, more = layers
+    out, at = x[: sizes[0]], sizes[0]
+    for m in sizes[1:]:
+        out[:m] += x[at : at + m]
+        at += m
+    if len(more):
+        rest = x[at:]  # two columns add as one complex number, in half the time
+        out[: len(more)] += np.add.reduceat(rest, more, axis=0) if x.shape[1] % 2 else np.add.reduceat(rest.view(np.complex64), more, axis=0).view(np.float32)
+    return out
 
 
 def padded(leaves: list[np.ndarray], edge: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,12 +389,12 @@ def _encode(head, own_leaves: int):
     """Rows (ref, n, leaves, tail): leaf numbers of each text's words, and those without a leaf of their own with their counts."""
 
     def run(batches):
-        known = head.value
+        known = pd.Index(head.value)
         ref = TaskContext.get().partitionId() << 33
         for batch in batches:
             for word, bucket, first in words_of(batch.column(batch.num_columns - 1)):
-                at = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
-                own = known[at] == word if len(known) else np.zeros(len(word), bool)
+                at = known.get_indexer(word)
+                own = at >= 0
                 leaves = np.where(own, at, own_leaves + bucket).astype("<u2")
                 rows = len(first) - 1
                 tail = _tails(word[~own], np.repeat(np.arange(rows), np.diff(first))[~own], rows)
@@ -318,9 +426,15 @@ def _train(model, turn: int, stride: int):
         r = np.random.default_rng(turn)
         for _, texts, _, _ in _chunks(batches, 0):
             leaves, places = padded(texts, net.edge)
-            some = r.permutation(places[turn % stride :: stride])
-            for k in range(0, len(some), BATCH):
-                net.step(leaves, some[k : k + BATCH], seen, power)
+            runs = np.arange(0, len(places), RUN)
+            runs = r.permutation(runs[turn % stride :: stride])
+            for i in range(0, len(runs), BATCH // RUN * PLANNED):
+                batches = []
+                for k in range(i, min(i + BATCH // RUN * PLANNED, len(runs)), BATCH // RUN):
+                    some = (runs[k : k + BATCH // RUN, None] + np.arange(RUN)).ravel()
+                    batches.append(places[some[some < len(places)]])
+                for some, plan in zip(batches, net.plans(leaves, batches, seen), strict=True):
+                    net.step(leaves, some, seen, power, plan)
         for number, (name, v) in enumerate(sorted(net.rows.items())):
             at = np.flatnonzero(seen[name])
             w = seen[name][at]
@@ -372,7 +486,7 @@ def score_documents(docs: DataFrame, *, text_col: str = "text", carry: list[str]
 
     log_likelihood is the sum over a document's words of the logarithm of their probability with the word itself masked;
     n_unseen counts words that no other document holds. A null or empty text, or one without words, has n_words 0 and sums
-    of 0. head: words with a leaf of their own; in each of `rounds` rounds, every stride-th place of every text is learnt
+    of 0. head: words with a leaf of their own; in each of `rounds` rounds, every stride-th run of places is learnt
     from. Equal texts score alike but for rounding; repeated rows count and are scored each, each being another document to
     the others. Input columns with these names are replaced; an empty table gives no rows.
     """

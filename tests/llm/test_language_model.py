@@ -173,3 +173,53 @@ def test_a_step_is_the_same_with_units_as_matrices_or_by_paths(monkeypatch):
             net.step(run, places, seen, power)
         rows[top] = net.rows | {f"seen {k}": v for k, v in seen.items()}
         assert all(np.allclose(rows[top][k], rows[0][k], atol=1e-4) for k in rows[0])
+
+
+def planned(lm, counts, leaves: np.ndarray, batches: list[np.ndarray], together: bool):
+    net = lm.Window(lm.Tree(counts))
+    seen, power = {k: np.zeros(len(v)) for k, v in net.rows.items()}, {k: np.zeros(len(v), np.float32) for k, v in net.rows.items()}
+    plans = net.plans(leaves, batches, seen) if together else [None] * len(batches)
+    for some, plan in zip(batches, plans, strict=True):
+        net.step(leaves, some, seen, power, plan)
+    return net.rows | {f"seen {k}": v for k, v in seen.items()}
+
+
+def test_steps_planned_together_equal_steps_alone():
+    """Batches of one place, of one word over and over, and in any order of places, beside ordinary ones."""
+    from kelpie.llm import language_model as lm
+
+    r = np.random.default_rng(12)
+    counts = r.zipf(1.3, 300).clip(0, 9999).astype(float)
+    leaves, places = lm.padded([r.integers(0, 300, 400), np.full(100, int(np.argmin(counts))), np.full(60, int(np.argmax(counts))), r.integers(0, 300, 1)], 300)
+    batches = [places[:64], r.permutation(places[64:400:2]), places[400:500], places[500:560], places[560:], places[65:400:2]]
+    one, other = (planned(lm, counts, leaves, batches, x) for x in (True, False))
+    assert all(np.allclose(one[k], other[k], atol=1e-5) for k in one)
+    contexts = np.zeros(301)
+    np.add.at(contexts, np.concatenate([leaves[x - k] for x in batches for k in range(1, lm.SIDE + 1)]), 1)
+    assert (one["seen left"] == contexts).all()
+
+
+def test_a_run_of_places_takes_its_context_words_once():
+    from kelpie.llm import language_model as lm
+
+    _, net = small_net()
+    leaves, places = lm.padded([np.arange(2000) % 25], 25)
+    batch = np.concatenate([places[i : i + lm.RUN] for i in range(0, 1500, 3 * lm.RUN)])
+    (plan,) = net.plans(leaves, [batch], {k: np.zeros(len(v)) for k, v in net.rows.items()})
+    assert len(plan["context"]) == len(batch) + 2 * lm.SIDE * len(batch) / lm.RUN
+    assert (plan["context"][plan["place"]] == leaves[batch]).all()
+
+
+def test_sums_in_layers_equal_sums_by_row():
+    from kelpie.llm import language_model as lm
+
+    r = np.random.default_rng(4)
+    row, cut = r.zipf(1.2, 3000).clip(0, 500), np.array([0, 1000, 1000, 1001, 3000])
+    for width in (1, lm.WIDTH):
+        x = r.normal(0, 1, (3000, width)).astype(np.float32)
+        for (i, j), (order, layers, rows, (n,)) in zip(zip(cut[:-1], cut[1:], strict=True), lm._mentions(row, cut), strict=True):
+            want, times = np.zeros((501, width)), np.bincount(row[i:j], minlength=501)
+            np.add.at(want, row[i:j], x[i:j])
+            assert (np.sort(rows) == np.flatnonzero(times)).all() and (n == times[rows]).all()
+            if j > i:
+                assert np.allclose(lm._sums(x[i:j].take(order, 0), layers), want[rows], atol=1e-3)
