@@ -6,6 +6,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql.functions import lit
 
 from kelpie.operators import near_pairs as module
 from kelpie.operators.components import groups
@@ -103,6 +104,48 @@ def test_frequent_words_do_not_multiply_the_rows_sent(spark):
     assert pairs == 0 and len(sets) < sent < 40 * len(sets), sent
 
 
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_short_sets_that_meet_in_a_bucket_are_near(spark, monkeypatch, percent):
+    """With both checks left out a crowded block gives the same pairs, so none is made that they would have to drop."""
+    rng = random.Random(percent)
+    rows = [(i, "p", [f"w{k}" for k in rng.sample(range(12), rng.randrange(1, 7))], 1, "d", True, None, None) for i in range(700)]
+    nodes = stored(word_nodes(spark.createDataFrame(rows, SCHEMA), ["buyer"], "words", "id", "recent"), "test-nodes")
+    kept = [(r.node, r.words) for r in nodes.collect()]
+    want = {tuple(sorted((u, v))) for (u, a), (v, b) in combinations(kept, 2) if near(a, b, percent)}
+    monkeypatch.setattr(module, "BLOCK_NODES", 5)
+    for check in ("_sketched", "_near"):
+        monkeypatch.setattr(module, check, lambda *_: lit(True))
+    got = [tuple(r) for r in near_pairs(nodes, ["buyer"], percent).collect()]
+    assert (want or percent == 90) and len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("percent", [30, 50, 70, 80])
+def test_pairs_of_short_and_long_sets_of_crowded_blocks(spark, monkeypatch, percent):
+    """Sizes on both sides of the largest short one, in one crowded block."""
+    rng = random.Random(percent)
+    said = [rng.sample(range(26), rng.randrange(1, 24)) for _ in range(120)]
+    for s in said[:]:
+        said.append(sorted({*s[rng.randrange(3) :], rng.randrange(26)}))
+    rows = [(i, "p", [f"w{k}" for k in s], 1, "d", i % 3 > 0, None, None) for i, s in enumerate(said)]
+    nodes = stored(word_nodes(spark.createDataFrame(rows, SCHEMA), ["buyer"], "words", "id", "recent"), "test-nodes")
+    kept = nodes.collect()
+    want = {tuple(sorted((a.node, b.node))) for a, b in combinations(kept, 2) if (a.asked or b.asked) and near(a.words, b.words, percent)}
+    monkeypatch.setattr(module, "BLOCK_NODES", 5)
+    got = [tuple(r) for r in near_pairs(nodes, ["buyer"], percent).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_an_audit_sends_a_row_few_times(spark):
+    """3,000 rows, nine of ten in blocks without a row asked about: words are put in order once, and those blocks stay."""
+    rng = random.Random(3)
+    rows = [(i, f"p{i % 50}", [f"w{k}" for k in rng.sample(range(40), 4)], i + 1, f"d{i % 10}", i % 10 == 0, None, None) for i in range(3_000)]
+    df = stored(spark.createDataFrame(rows, SCHEMA), "test-rows")
+    before = rows_sent(spark)
+    assert procurement_audit(df, "id", "buyer", "words", "amount", "day", "recent").count() == 3_000
+    sent = rows_sent(spark) - before
+    assert sent < 4 * len(rows), sent
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_audit_equals_all_pairs(spark, seed):
     rows = made(seed, 160, 40, ["p", "q", "r"])
