@@ -26,7 +26,7 @@ PART_NODES = 1_000
 #: Buckets of a set, for each size it may meet; one with more takes buckets of fewer words.
 MOST_BUCKETS = 24
 #: Buckets of a short set in all, its largest size, and the most words of its buckets.
-MOST_KEYS, MOST_SIZE, MOST_PICKED = 64, 32, 8
+MOST_KEYS, MOST_SIZE, MOST_PICKED = 128, 32, 8
 #: In a block of no more nodes all pairs meet.
 BLOCK_NODES = 1_024
 #: Up to so many different words are coded by one list of them all, more by a join.
