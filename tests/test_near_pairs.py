@@ -197,3 +197,13 @@ def test_groups_of_chains_stars_and_nothing(spark):
     real = [(a, b) for a, b in links if a is not None and b is not None and a != b]
     assert got == joined(real, {x for pair in real for x in pair})
     assert groups(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_ends_of_one_link_are_sent_in_one_step(spark):
+    """A chain of 200, each with 50 that hang on it alone: the steps that shorten the chain leave those where they are."""
+    chain = [(100 * i, 100 * i + 100) for i in range(200)]
+    links = stored(spark.createDataFrame(chain + [(100 * i, 100 * i + 1 + k) for i in range(200) for k in range(50)], "a long, b long"), "test-links")
+    before = rows_sent(spark)
+    assert groups(links).filter("first = 0").count() == 201 + 200 * 50
+    sent = rows_sent(spark) - before
+    assert sent < 10 * links.count(), sent
